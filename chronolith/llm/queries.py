@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_lm, op3_quality, op5_langid, op6_exact, op10_mix
+from . import op1_toxicity, op2_lm, op3_quality, op5_langid, op6_exact, op10_mix
 from .common import read
 
 
@@ -14,6 +14,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_quality.assess(read(spark, sf_dir, "documents"), with_text=False)
 
 
+def op1_toxicity_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_lm.score_documents(read(spark, sf_dir, "documents"))
 
@@ -30,5 +34,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_mix.mix(read(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_lm_scoring, op3_quality_rules, op5_language_id, op6_exact_dedup, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity_restored, op2_lm_scoring, op3_quality_rules, op5_language_id, op6_exact_dedup, op10_mixing)}
 SQL: dict[str, str] = {"op6_exact_dedup": op6_exact.SQL, "op10_mixing": op10_mix.SQL}

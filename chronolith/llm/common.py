@@ -109,7 +109,7 @@ def grouped_prefix(df: DataFrame, group: Column, key: Column, value: Column, tie
     cols = df.columns
     rows = df.select("*", group.alias("__g"), key.alias("__key"), value.cast("long").alias("__v"))
     rows = rows.withColumn("__h", F.conv(F.substring("__key", 1, 8), 16, 10).cast("long"))
-    n = max(1, -(-df.count() // rows_a_slice))
+    n = max(partitions(df.sparkSession), -(-df.count() // rows_a_slice))
     rows = rows.withColumn("__slice", F.floor(F.col("__h") * n / F.lit(2**32)))
     from pyspark.sql import Window as W
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_toxicity, op2_lm, op3_quality, op5_langid, op6_exact, op10_mix
+from . import op1_toxicity, op2_lm, op3_quality, op4_ngram_join, op5_langid, op6_exact, op10_mix
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_lm.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_ngram_join.join_classes(read(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_langid.identify(read(spark, sf_dir, "documents"))
 
@@ -34,5 +38,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_mix.mix(read(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity_restored, op2_lm_scoring, op3_quality_rules, op5_language_id, op6_exact_dedup, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity_restored, op2_lm_scoring, op3_quality_rules, op4_ngram_jaccard_join, op5_language_id, op6_exact_dedup, op10_mixing)}
 SQL: dict[str, str] = {"op6_exact_dedup": op6_exact.SQL, "op10_mixing": op10_mix.SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_toxicity, op2_lm, op3_quality, op4_ngram_join, op5_langid, op6_exact, op10_mix
+from . import op1_toxicity, op2_lm, op3_quality, op4_ngram_join, op5_langid, op6_exact, op7_shards, op8_warc, op9_packing, op10_mix
 from .common import read
 
 
@@ -34,9 +34,21 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_exact.dedup(read(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_shards.shard_documents(read(spark, sf_dir, "documents"))
+
+
+def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+def op9_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_mix.mix(read(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity_restored, op2_lm_scoring, op3_quality_rules, op4_ngram_jaccard_join, op5_language_id, op6_exact_dedup, op10_mixing)}
-SQL: dict[str, str] = {"op6_exact_dedup": op6_exact.SQL, "op10_mixing": op10_mix.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity_restored, op2_lm_scoring, op3_quality_rules, op4_ngram_jaccard_join, op5_language_id, op6_exact_dedup, op7_sharding, op8_warc_normaliser, op9_length_packing, op10_mixing)}
+SQL: dict[str, str] = {"op6_exact_dedup": op6_exact.SQL, "op8_warc_normaliser": op8_warc.SQL, "op10_mixing": op10_mix.SQL}

@@ -63,8 +63,12 @@ def payload(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
     return docs.select(*columns, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
 
-def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes, so that what Python makes of a batch stays small."""
+    for b in batches:
+        rows = max(1, b.num_rows * most // max(1, b.nbytes))
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, payload
+from .common import id_crc, payload, slices
 
 SAMPLE = 20_000
 FEATURES = 100_000
@@ -57,7 +57,7 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**4, np.int64)
-        for b in batches:
+        for b in slices(batches):
             joined = b"  ".join(b.column("text").to_pylist())
             for at in range(0, len(joined), 4 << 20):
                 x = TABLE[np.frombuffer(joined[at : at + (4 << 20) + 3], np.uint8)]
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, met = sent.value.tolist(), {}
         seen: tuple[Counter, Counter] = Counter(), Counter()
-        for b in batches:
+        for b in slices(batches):
             for y, text in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist()):
                 words: set[bytes] = set()
                 for t in words_of(text, lm):
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, table, rate = told.value
         lm, met = grams.tolist(), {}
-        for b in batches:
+        for b in slices(batches):
             out = []
             for y, text in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist()):
                 found: dict[bytes, float] = {}
@@ -253,7 +253,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         for key in [k for k in _CACHE if k != name]:
             del _CACHE[key]
         known = _CACHE.setdefault(name, {})
-        for b in batches:
+        for b in slices(batches):
             scores, worst = [], []
             for text in b.column("text").to_pylist():
                 found: dict[bytes, float] = {}

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, materialise, payload
+from .common import id_crc, materialise, payload, slices
 from .lattice import VOCABULARY, Lattice, vocabulary
 
 HEAD = 300_000
@@ -54,7 +54,7 @@ def count_tokens(rows: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-        for b in batches:
+        for b in slices(batches):
             for t in b.column("text").to_pylist():
                 seen.update(tokens(t))
                 seen[END] += 1
@@ -167,7 +167,7 @@ def score_documents(docs: DataFrame, path: str = VOCABULARY, head: int = HEAD, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = sent.value
         uid = TaskContext.get().partitionId() << 34
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 found = Counter(tokens(text))

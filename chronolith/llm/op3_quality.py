@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, payload
+from .common import BLANKS, payload, slices
 
 SYMBOLS = b"#*$%&|<>"
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -111,7 +111,7 @@ def assess(docs: DataFrame, rules: Rules = Rules(), with_text: bool = True) -> D
     """The measures and the verdict of every document; `cleaned` is its text without failed lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [judge(t, rules) for t in b.column("text").to_pylist()]
             cols = list(zip(*got)) or [[]] * 8
             arrays = [b.column("doc_id")] + [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(c, pa.bool_()) for c in cols[5:7]]
@@ -131,7 +131,7 @@ def clean_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(at).cast(pa.binary()).to_pylist()
             got = [judge(t or b"", rules) for t in texts]
             cleaned = [None if t is None else g[7] for t, g in zip(texts, got)]

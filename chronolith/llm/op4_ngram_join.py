@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialise, partitions, payload, skew_safe_lookup
+from .common import discard, materialise, partitions, payload, skew_safe_lookup, slices
 from .components import components
 
 SKETCH_BITS = 22
@@ -81,7 +81,7 @@ def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, hashes = np.zeros(buckets, np.uint32), _Hashes()
-        for b in batches:
+        for b in slices(batches):
             held: list[np.ndarray] = []
             for t in b.column("text").to_pylist():
                 held.append(shingles(t, width, hashes) >> np.uint64(64 - SKETCH_BITS))
@@ -128,7 +128,7 @@ def _keyed(docs: DataFrame, width: int, carry: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(t, width, hashes) for t in b.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=b.schema.names[:-1] + ["__key", "__n"])
 
@@ -143,7 +143,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, perc
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(t, width, hashes) for t in b.column("text").to_pylist()]
             for at in range(0, len(sets), 500):
                 part = sets[at : at + 500]
@@ -154,7 +154,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, perc
     right = full.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             keep = []
             for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist()):
                 both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
@@ -176,7 +176,7 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, hashes, told = sent.value, _Hashes(), set()
-        for b in batches:
+        for b in slices(batches):
             keys, sizes, matches, tokens, offsets = [], [], [], [], [0]
             for t in b.column("text").to_pylist():
                 s = shingles(t, width, hashes)

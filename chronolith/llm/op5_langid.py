@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, payload
+from .common import id_crc, payload, slices
 from .lattice import VOCABULARY, Lattice, vocabulary
 
 SAMPLE = 2000
@@ -52,7 +52,7 @@ def fit(docs: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE, iteration
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter[bytes]] = {}
-        for b in batches:
+        for b in slices(batches):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 seen.setdefault(lang, Counter()).update(text.lower().split())
             if sum(map(len, seen.values())) > 300_000:
@@ -108,7 +108,7 @@ def identify(docs: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE) -> D
         for key in [k for k in _MET if k != model]:
             del _MET[key]
         place, known = _MET.get(model, ({}, np.zeros((1024, g))))
-        for b in batches:
+        for b in slices(batches):
             texts = [t.lower().split() for t in b.column("text").to_pylist()]
             if len(place) > CACHE_WORDS:
                 place = {}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialise, partitions, payload, skew_safe_lookup
+from .common import BLANKS, materialise, partitions, payload, skew_safe_lookup, slices
 
 TRIE_BYTES = 32 << 20
 #: Stands for a null id while owners are compared.
@@ -90,7 +90,7 @@ def keyed(docs: DataFrame, carry: list[str]) -> DataFrame:
     """Columns n_len, sha (of the text without blanks) and n_points beside the columns of `carry`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("__text").to_pylist()
             bodies = [t.translate(None, BLANKS) for t in texts]
             columns = b.columns[:-1] + [pa.array([len(x) for x in bodies], pa.int64()), pa.array([hashlib.sha256(x).digest() for x in bodies], pa.binary()), pa.array([code_points(t) for t in texts], pa.int64())]
@@ -118,7 +118,7 @@ def owners(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
                 vals = [n[2] for _, n in part]
                 yield pa.RecordBatch.from_arrays([pa.array([len(k) for k in bodies], pa.int64()), pa.array([hashlib.sha256(k).digest() for k in bodies], pa.binary()), pa.array(bodies, pa.binary()), *(pa.array([v[j] for v in vals], pa.int64()) for j in range(3))], names=["n_len", "sha", "body", "points", "id", "rows"])
 
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 body = text.translate(None, BLANKS)
                 trie = tries.setdefault(len(body), Patricia())
@@ -144,7 +144,7 @@ def owners(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
             return [n_len for _, n_len in zip(done, (of[id(n)] for _, n in done))]
 
         of: dict[int, int] = {}
-        for b in batches:
+        for b in slices(batches):
             for n_len, sha, body, points, doc_id, rows in zip(*(b.column(c).to_pylist() for c in ("n_len", "sha", "body", "points", "id", "rows"))):
                 if n_len != length or trie.bytes > trie_bytes:
                     # The stream is sorted: only the subtree of the current hash can still grow.

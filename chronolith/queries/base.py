@@ -41,6 +41,6 @@ speech AS (SELECT stream_id, w, CASE WHEN (w + 7 * stream_id) % 97 < 61 THEN CAS
   WHEN event_type = 'error' AND event_id % 11 = 0 THEN 0.6::DOUBLE WHEN event_type = 'error' THEN 0.4::DOUBLE ELSE 0.1::DOUBLE END AS p FROM ev)"""
 THUMB = """thumb AS (SELECT label AS video_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, vec_id AS frame_id,
   list_transform(embedding, lambda e: floor((e::DOUBLE + 1) * 127.5)::INTEGER) AS pixels FROM embeddings)"""
-SPANS = """spans AS (SELECT user_id, event_id, epoch_ms(ts) AS start_ms, epoch_ms(ts) + round_even(value * 1000, 0)::BIGINT AS end_ms FROM events)"""
+SPANS = """spans AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + round_even(value * 1000, 0)::BIGINT AS end_ms FROM events)"""
 RUNS = """runs AS (SELECT o_orderkey AS run_id, o_orderpriority AS kind, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'running' ELSE 'partial' END AS status,
   o_totalprice::DOUBLE AS processed_until, o_orderdate AS updated_at FROM orders)"""

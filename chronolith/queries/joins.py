@@ -1 +1,40 @@
-"""To come."""
+"""Ordered scans and set queries that the timeline store answers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..sources import tables as S
+from .base import CONV, SEG, query
+
+
+@query(f"WITH {SEG} SELECT video_id, idx, start_s, row_number() OVER (PARTITION BY video_id ORDER BY start_s, idx) - 1 AS place FROM seg")
+def ordered_scan(spark, d):
+    """L3, S9."""
+    order = W.partitionBy("video_id").orderBy("start_s", "idx")
+    return S.segments(spark, d).select("video_id", "idx", "start_s", (F.row_number().over(order) - 1).alias("place"))
+
+
+@query(f"WITH {CONV} SELECT video_id, idx, left(text, 120) AS shown FROM conv QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY idx DESC) <= 4")
+def tool_caps(spark, d):
+    """The last rows a tool may show; the cap is the feature."""
+    order = W.partitionBy("video_id").orderBy(F.desc("idx"))
+    rows = S.conversation_segments(spark, d).withColumn("n", F.row_number().over(order)).filter("n <= 4")
+    return rows.select("video_id", "idx", F.left("text", F.lit(120)).alias("shown"))
+
+
+@query(f"WITH {SEG}, f AS (SELECT DISTINCT d.doc_id AS video_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 60))) SELECT video_id, count(*) AS items FROM f GROUP BY video_id")
+def passage_timelines(spark, d):
+    """Timelines that quote a known passage; the passages are a small, fixed set.
+
+    Passages go to texts through their first five words, so no text meets every passage.
+    """
+    words = lambda c: F.split(c, " ")
+    gram = lambda ws, i: F.array_join(F.slice(ws, i, 5), " ")
+    b = S.table(spark, d, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("quote"), words(F.col("text")).alias("w"))
+    b = b.select("item_id", "quote", gram(F.col("w"), F.lit(2)).alias("gram"))
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), "text", words(F.col("text")).alias("w")).filter("size(w) > 5")
+    grams = docs.select("video_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: gram(F.col("w"), i)))).alias("gram"))
+    hits = grams.join(b, "gram").filter(F.contains("text", F.col("quote"))).select("video_id", "item_id").distinct()
+    return hits.groupBy("video_id").agg(F.count("*").alias("items"))

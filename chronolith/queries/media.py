@@ -1 +1,89 @@
-"""To come."""
+"""Thumbnails and frames."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import pixels as X
+from ..operators import frames as O
+from ..sources import tables as S
+from .base import THUMB, query
+
+_STEP = "list_sum(list_transform(list_zip({a}, {b}), lambda z: abs(z[1] - z[2]))) / len({a})"
+
+
+@query(f"""WITH RECURSIVE {THUMB}, f AS (SELECT video_id, t + (frame_id % 10) / 10.0::DOUBLE AS t, row_number() OVER (PARTITION BY video_id ORDER BY t) AS rn FROM thumb),
+r AS (SELECT video_id, rn, t, t + 1 / 0.6::DOUBLE AS due, true AS kept FROM f WHERE rn = 1
+  UNION ALL SELECT f.video_id, f.rn, f.t, CASE WHEN f.t >= r.due - 1e-6 THEN f.t + 1 / 0.6::DOUBLE ELSE r.due END, f.t >= r.due - 1e-6 FROM r JOIN f ON f.video_id = r.video_id AND f.rn = r.rn + 1)
+SELECT video_id, t FROM r WHERE kept""")
+def frame_throttle(spark, d):
+    """S6."""
+    frames = S.thumbnails(spark, d).select("video_id", (F.col("t") + F.col("frame_id") % 10 / 10.0).alias("t"))
+    return O.throttle(frames, 0.6)
+
+
+@query(f"""WITH {THUMB}, b AS (SELECT video_id, frame_id, list_transform(list_filter(range(1, 64), lambda i: i % 8 <> 0), lambda i: (pixels[i + 1] > pixels[i])::INTEGER) AS bits FROM thumb)
+SELECT video_id, frame_id, list_sum(list_transform(range(1, 57), lambda i: bits[i]::BIGINT << (56 - i)))::BIGINT AS code, list_sum(bits)::BIGINT AS ones FROM b""")
+def dhash(spark, d):
+    """C8, over rows of eight pixels."""
+    bits = S.thumbnails(spark, d).select("video_id", "frame_id", X.gradient_bits(F.col("pixels"), 8).alias("bits"))
+    return bits.select("video_id", "frame_id", F.get(X.pack_bits(F.col("bits")), F.lit(0)).alias("code"), F.aggregate("bits", F.lit(0).cast("long"), lambda a, b: a + b).alias("ones"))
+
+
+@query(f"WITH {THUMB}, l AS (SELECT *, lag(pixels) OVER (PARTITION BY video_id ORDER BY t) AS prev FROM thumb) SELECT video_id, t, CASE WHEN prev IS NOT NULL THEN round({_STEP.format(a='pixels', b='prev')}, 6) END AS diff FROM l")
+def thumb_mad(spark, d):
+    """A9, M5."""
+    return O.steps(S.thumbnails(spark, d)).select("video_id", "t", F.round("diff", 6).alias("diff"))
+
+
+@query(f"""WITH {THUMB}, b AS (SELECT video_id, t, pixels, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN pixels[i + 1] > pixels[i] THEN 1::BIGINT << (63 - i) ELSE 0 END))::BIGINT AS code FROM thumb),
+p AS (SELECT x.video_id, x.t, y.t AS earlier, bit_count(xor(x.code, y.code)) AS bits, {_STEP.format(a='x.pixels', b='y.pixels')} AS diff FROM b x JOIN b y ON x.video_id = y.video_id AND y.t BETWEEN x.t - 8 AND x.t - 1)
+SELECT video_id, t, earlier, bits::INTEGER AS bits, round(diff, 6) AS diff FROM p WHERE bits <= 24 AND diff <= 14""")
+def hamming_dups(spark, d):
+    """Near duplicates among the eight thumbnails before each."""
+    rows = S.thumbnails(spark, d).select("video_id", "t", "pixels", X.pack_bits(X.gradient_bits(F.col("pixels"), 1 << 20)).alias("code"))
+    near = W.partitionBy("video_id").orderBy("t").rowsBetween(-O.RECENT, -1)
+    pairs = rows.withColumn("near", F.collect_list(F.struct("t", "pixels", "code")).over(near)).withColumn("y", F.explode("near"))
+    out = pairs.select("video_id", "t", F.col("y.t").alias("earlier"), X.hamming(F.col("code"), F.col("y.code")).alias("bits"), X.mean_abs_diff(F.col("pixels"), F.col("y.pixels")).alias("diff"))
+    return out.filter("bits <= 24 and diff <= 14").withColumn("diff", F.round("diff", 6))
+
+
+@query(f"""WITH {THUMB}, l AS (SELECT *, lag(pixels) OVER (PARTITION BY video_id ORDER BY t) AS prev FROM thumb), s AS (SELECT video_id, t, CASE WHEN prev IS NOT NULL THEN {_STEP.format(a='pixels', b='prev')} END AS diff FROM l),
+m AS (SELECT video_id, t, count(diff) OVER w AS votes, quantile_cont(diff, 0.5) OVER w AS med FROM s WINDOW w AS (PARTITION BY video_id ORDER BY t ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+SELECT video_id, t, votes, round(med, 6) AS median, votes >= 5 AND coalesce(med, 0) < 0.6 AS static FROM m""")
+def static_median(spark, d):
+    """A8."""
+    return O.static_votes(S.thumbnails(spark, d)).select("video_id", "t", "votes", F.round("median", 6).alias("median"), "static")
+
+
+@query(f"""WITH {THUMB}, f AS (SELECT video_id, t, frame_id, frame_id % 17 = 0 AS preferred FROM thumb),
+n AS (SELECT *, row_number() OVER (PARTITION BY video_id, preferred ORDER BY t, frame_id) - 1 AS i, count(*) OVER (PARTITION BY video_id, preferred) AS m FROM f),
+c AS (SELECT video_id, count(*) FILTER (preferred) AS p FROM f GROUP BY video_id),
+k AS (SELECT video_id, greatest(12 - p, 0) AS k FROM c),
+w AS (SELECT video_id, k, unnest(range(0, k)) AS j FROM k)
+SELECT video_id, t, frame_id FROM n WHERE preferred AND i < 12
+UNION SELECT n.video_id, n.t, n.frame_id FROM n JOIN w USING (video_id) WHERE NOT n.preferred AND (m <= w.k AND n.i = n.i OR n.i = round_even(w.j * ((n.m - 1) / greatest(w.k - 1, 1)::DOUBLE), 0))""")
+def pick_frames(spark, d):
+    """W9."""
+    frames = S.thumbnails(spark, d).select("video_id", "t", "frame_id", (F.col("frame_id") % 17 == 0).alias("preferred"))
+    return O.pick_frames(frames, 12)
+
+
+@query()
+def frame_select(spark, d):
+    """C7, for every strategy."""
+    thumbs = S.thumbnails(spark, d)
+    out = [O.select_frames(thumbs, 64, strategy, bits=2).withColumn("strategy", F.lit(strategy)) for strategy in ("auto", "screen", "scenes", "interval")]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query("""WITH s AS (SELECT page_id, 300 + (page_id * 37 % 3000)::INTEGER AS w, 200 + (page_id * 53 % 1500)::INTEGER AS h FROM pages),
+j AS (SELECT *, least(w, 1280) AS w1, CASE WHEN w > 1280 THEN round_even(h * 1280 / w::DOUBLE, 0)::INTEGER ELSE h END AS h1 FROM s)
+SELECT page_id, w1 - w1 % 2 AS width, h1 - h1 % 2 AS height, floor(w * 0.25)::INTEGER AS "left", greatest(floor(w * 0.25)::INTEGER + 32, least(w, floor(0.26 * w)::INTEGER)) AS "right" FROM j""")
+def frame_geometry(spark, d):
+    """Size of the stored picture, and a crop box."""
+    p = F.col("page_id")
+    s = S.table(spark, d, "pages").select("page_id", (300 + p * 37 % 3000).cast("int").alias("w"), (200 + p * 53 % 1500).cast("int").alias("h"))
+    size, box = O.jpeg_size(F.col("w"), F.col("h"), 1280), O.crop_box(F.col("w"), F.col("h"), 0.25, 0.1, 0.01, 0.2)
+    return s.select("page_id", size.width.alias("width"), size.height.alias("height"), box.left.alias("left"), box.right.alias("right"))

@@ -1 +1,210 @@
-"""To come."""
+"""Search windows, results and passages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import windows as O
+from ..operators.chunks import ordered_texts
+from ..functions import text as T
+from ..plans import context as X
+from ..plans import search as Q
+from ..sources import tables as S
+from .base import SEG, SPANS, THUMB, query
+from .words import _MATCHED, HITS, PARSED
+
+HOUR = 3_600_000
+
+
+def _grouped_sql(rows: str, gap: str, most: str, keys: str, on: str) -> str:
+    """grouped(keys, idx, grp) from a relation with idx, start_s and end_s."""
+    joins = f"o.start_s - g.ge <= {gap} AND o.end_s - g.gs <= {most}"
+    return f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY idx) AS rn FROM {rows}),
+grouped AS (SELECT {keys}, rn, idx, idx AS grp, start_s AS gs, end_s AS ge FROM ordered WHERE rn = 1
+  UNION ALL SELECT {', '.join('o.' + k.strip() for k in keys.split(','))}, o.rn, o.idx, CASE WHEN {joins} THEN g.grp ELSE o.idx END, CASE WHEN {joins} THEN g.gs ELSE o.start_s END,
+    CASE WHEN {joins} THEN greatest(g.ge, o.end_s) ELSE o.end_s END FROM grouped g JOIN ordered o ON {on} AND o.rn = g.rn + 1)"""
+
+
+@query(f"""WITH RECURSIVE {SPANS}, s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY start_ms, event_id) AS idx, start_ms AS start_s, end_ms AS end_s FROM spans),
+{_grouped_sql('s', str(8 * HOUR), str(48 * HOUR), 'user_id', 'o.user_id = g.user_id')}
+SELECT user_id, grp, count(*) AS hits, max(ge) AS end_ms, min(gs) AS start_ms FROM grouped GROUP BY user_id, grp""")
+def hit_groups(spark, d):
+    """Groups with a gap and a length cap."""
+    rows = S.spans(spark, d).withColumn("idx", F.row_number().over(Q.W.partitionBy("user_id").orderBy("start_ms", "event_id")))
+    out = O.hit_groups(rows, ["user_id"], F.lit(8 * HOUR), F.lit(48 * HOUR), "start_ms", "end_ms")
+    return out.groupBy("user_id", "grp").agg(F.count("*").alias("hits"), F.max("end_ms").alias("end_ms"), F.min("start_ms").alias("start_ms"))
+
+
+WINDOWS = f"""{HITS}, {_grouped_sql('hits', '8.0', '90.0', 'query_id, video_id', 'o.query_id = g.query_id AND o.video_id = g.video_id')},
+win AS (SELECT query_id, video_id, g.grp, count(*) AS hits, max(h.score) + 0.5 * (sum(h.score) - max(h.score)) AS relevance, min(h.start_s) AS start_s, max(h.end_s) AS end_s,
+  min(idx) AS first_idx, max(idx) AS last_idx, flatten(list(h.tokens ORDER BY idx)) AS tokens FROM grouped g JOIN hits h USING (query_id, video_id, idx) GROUP BY query_id, video_id, g.grp),
+terms AS (SELECT *, {_MATCHED} AS matched FROM win),
+cov AS (SELECT *, CASE WHEN matched = '' THEN 0 ELSE len(string_split(matched, ' ')) END / CASE query_id {' '.join(f'WHEN {q} THEN {len(x.terms)}' for q, x in PARSED.items())} END::DOUBLE AS coverage,
+  CASE WHEN {' OR '.join(f"query_id = {q} AND contains(' ' || array_to_string(tokens, ' ') || ' ', ' {' '.join(x.phrase)} ')" for q, x in PARSED.items() if x.phrase)} THEN 1.25 ELSE 1.0 END::DOUBLE AS bonus FROM terms),
+windows AS (SELECT *, relevance * (0.5 + coverage) * bonus AS score FROM cov)"""
+
+RANKED = WINDOWS + """,
+numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY round(score, 9) DESC, first_idx) - 1 AS rank,
+  greatest(round(score / max(score) OVER (PARTITION BY query_id, video_id), 4), 0.0001) AS relative FROM windows)"""
+
+
+def results_sql(limit: int, start: float | None = None, expand: float = 0.0) -> str:
+    where = f"rank < {limit}"
+    on = f"s.end_s >= n.start_s - {expand} AND s.start_s <= n.end_s + {expand}" if expand else "s.idx BETWEEN n.first_idx AND n.last_idx"
+    return f"""results AS (SELECT n.query_id, n.video_id, n.rank, min_by(s.start_s, s.idx) AS start_s, max(s.end_s) AS end_s, any_value(n.relative) AS score,
+  array_to_string(list_filter(list(trim(s.text) ORDER BY s.idx), lambda x: x <> ''), ' ') AS text, any_value(n.matched) AS matched, count(*) AS n_segments
+  FROM numbered n JOIN seg s ON s.video_id = n.video_id AND {on} WHERE {where} GROUP BY n.query_id, n.video_id, n.rank)"""
+
+
+def _windows(spark, d):
+    return Q.scored_windows(Q.candidates(S.segments(spark, d), PARSED), PARSED)
+
+
+@query(f"WITH RECURSIVE {WINDOWS} SELECT query_id, video_id, first_idx, matched, round(coverage, 6) AS coverage FROM windows")
+def window_coverage(spark, d):
+    """A6."""
+    return _windows(spark, d).select("query_id", "video_id", "first_idx", F.array_join("matched", " ").alias("matched"), F.round("coverage", 6).alias("coverage"))
+
+
+@query(f"WITH RECURSIVE {WINDOWS} SELECT query_id, video_id, first_idx, last_idx, hits, round(relevance, 6) AS relevance, round(score, 6) AS score FROM windows")
+def window_scores(spark, d):
+    """A4."""
+    return _windows(spark, d).select("query_id", "video_id", "first_idx", "last_idx", "hits", F.round("relevance", 6).alias("relevance"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH RECURSIVE {RANKED} SELECT query_id, video_id, first_idx, rank, relative FROM numbered WHERE rank < 5")
+def score_normalise(spark, d):
+    """W4, W5."""
+    return Q.ranked(_windows(spark, d), 5).select("query_id", "video_id", "first_idx", "rank", "relative")
+
+
+def _shown(df):
+    return df.select("query_id", "video_id", "rank", "start_s", "end_s", "score", "text", F.array_join("matched", " ").alias("matched"), F.size("segment_ids").cast("long").alias("n_segments"))
+
+
+@query(f"WITH RECURSIVE {RANKED}, {results_sql(5)} SELECT * FROM results")
+def search_topk(spark, d):
+    """C2."""
+    return _shown(Q.search(S.segments(spark, d), PARSED))
+
+
+_TIMED_HITS = RANKED.replace("JOIN tok t USING (video_id, idx) QUALIFY", "JOIN tok t USING (video_id, idx) WHERE t.end_s >= 20.0 AND t.start_s <= 120.0 QUALIFY")
+
+
+@query(f"WITH RECURSIVE {_TIMED_HITS}, {results_sql(5)} SELECT * FROM results")
+def search_timerange(spark, d):
+    """C2 with P1."""
+    return _shown(Q.search(S.segments(spark, d), PARSED, Q.SearchOptions(start=20.0, end=120.0)))
+
+
+@query(f"WITH RECURSIVE {RANKED}, {results_sql(3, expand=10.0)} SELECT * FROM results")
+def search_expand(spark, d):
+    """C2 with J6."""
+    return _shown(Q.search(S.segments(spark, d), PARSED, Q.SearchOptions(limit=3, expand=10.0)))
+
+
+@query(f"""WITH {SPANS}, r AS (SELECT *, max(end_ms) OVER (PARTITION BY user_id ORDER BY start_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans),
+i AS (SELECT *, sum(CASE WHEN start_ms <= reach + 14400000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY start_ms, event_id ROWS UNBOUNDED PRECEDING) AS island FROM r)
+SELECT user_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, min(event_id) AS event_id, count(*) AS parts FROM i GROUP BY user_id, island""")
+def interval_merge(spark, d):
+    """W2."""
+    return O.interval_merge(S.spans(spark, d), ["user_id"], 4 * HOUR, "start_ms", "end_ms", "event_id")
+
+
+_WIN = "w AS (SELECT video_id, idx AS win, start_s - 3.0 AS w_start, end_s + 5.0 AS w_end FROM seg WHERE idx % 5 = 2)"
+
+
+@query(f"""WITH {SEG}, {_WIN} SELECT s.video_id, s.idx, w.win FROM seg s JOIN w ON s.video_id = w.video_id AND s.end_s >= w.w_start AND s.start_s <= w.w_end
+QUALIFY row_number() OVER (PARTITION BY s.video_id, s.idx ORDER BY w.w_start, w.w_end) = 1""")
+def interval_join(spark, d):
+    """Each segment goes to the earliest window that it overlaps."""
+    seg = S.segments(spark, d)
+    w = seg.filter("idx % 5 = 2").select("video_id", F.col("idx").alias("win"), (F.col("start_s") - 3.0).alias("w_start"), (F.col("end_s") + 5.0).alias("w_end"))
+    return O.assign_earliest(w, seg, ["video_id"], ["idx"]).select("video_id", "idx", "win")
+
+
+@query(f"""WITH {SEG}, {_WIN} SELECT w.video_id, w.win, count(*) AS n, min(s.idx) AS first_idx, max(s.idx) AS last_idx FROM w JOIN seg s ON s.video_id = w.video_id AND s.end_s >= w.w_start AND s.start_s <= w.w_end GROUP BY ALL""")
+def expand_join(spark, d):
+    """Every overlap, ends included."""
+    seg = S.segments(spark, d)
+    w = seg.filter("idx % 5 = 2").select("video_id", F.col("idx").alias("win"), (F.col("start_s") - 3.0).alias("w_start"), (F.col("end_s") + 5.0).alias("w_end"))
+    return O.overlap_join(w, seg, ["video_id"]).groupBy("video_id", "win").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
+
+
+@query(f"""WITH {SEG}, w AS (SELECT video_id, idx AS first_idx, idx + 3 AS last_idx FROM seg WHERE idx % 6 = 0)
+SELECT w.video_id, w.first_idx, count(*) AS n, string_agg(s.text, ' ' ORDER BY s.idx) AS text FROM w JOIN seg s ON s.video_id = w.video_id AND s.idx BETWEEN w.first_idx AND w.last_idx GROUP BY ALL""")
+def index_range_join(spark, d):
+    """A window's segments between its first and last hit."""
+    seg = S.segments(spark, d)
+    w = seg.filter("idx % 6 = 0").select("video_id", F.col("idx").alias("first_idx"), F.explode(F.sequence(F.col("idx"), F.col("idx") + 3)).alias("idx"))
+    return w.join(seg, ["video_id", "idx"]).groupBy("video_id", "first_idx").agg(F.count("*").alias("n"), F.array_join(ordered_texts(), " ").alias("text"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, turn, ceil(length(text) / 3.5)::BIGINT + 2 AS cost FROM conversations),
+r AS (SELECT conv_id, rn, turn, cost, cost <= 200 AS taken, CASE WHEN cost <= 200 THEN cost ELSE 0 END AS used FROM o WHERE rn = 1
+  UNION ALL SELECT o.conv_id, o.rn, o.turn, o.cost, r.used + o.cost <= 200, CASE WHEN r.used + o.cost <= 200 THEN r.used + o.cost ELSE r.used END FROM r JOIN o ON o.conv_id = r.conv_id AND o.rn = r.rn + 1)
+SELECT conv_id, turn, cost, taken FROM r""")
+def budget_pack(spark, d):
+    """What does not fit is skipped, and packing goes on."""
+    rows = S.table(spark, d, "conversations").select("conv_id", "turn", (T.estimate_tokens(F.col("text")) + 2).alias("cost"))
+    return O.budget_pack(rows, ["conv_id"], "turn", "cost", F.lit(200)).select("conv_id", "turn", "cost", "taken")
+
+
+@query("""WITH n AS (SELECT doc_id, (doc_id % 40)::INTEGER AS n FROM documents)
+SELECT doc_id, array_to_string(CASE WHEN n = 0 THEN [] WHEN n <= 5 THEN range(0, n) ELSE list_transform(range(0, 5), lambda i: round_even(i * ((n - 1) / 4::DOUBLE), 0)::BIGINT) END, ',') AS places FROM n""")
+def even_pick(spark, d):
+    """W8."""
+    n = (F.col("doc_id") % 40).cast("int")
+    return S.table(spark, d, "documents").select("doc_id", F.array_join(F.transform(O.even_indices(n, 5), lambda i: i.cast("string")), ",").alias("places"))
+
+
+@query("""SELECT o.o_orderkey, o.o_custkey, e.event_id FROM orders o ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY user_id, ts) e
+ON o.o_custkey = e.user_id AND o.o_orderdate >= e.ts""")
+def asof_event(spark, d):
+    """The last event at or before an order."""
+    orders = S.table(spark, d, "orders").select("o_orderkey", "o_custkey", F.unix_micros(S.timestamp("o_orderdate")).alias("at"), F.col("o_custkey").alias("user_id"))
+    events = S.table(spark, d, "events").select("user_id", F.unix_micros(S.timestamp("ts")).alias("ts"), "event_id")
+    return O.asof_backward(orders, events, ["user_id"], "at", "ts", "event_id").select("o_orderkey", "o_custkey", "event_id")
+
+
+@query(f"""WITH {THUMB}, f AS (SELECT video_id, t, frame_id FROM thumb WHERE t % 7 = 3),
+p AS (SELECT video_id, t + 0.5::DOUBLE AS pts FROM thumb), m AS (SELECT p.video_id, p.pts, f.frame_id, f.t FROM p ASOF LEFT JOIN f ON p.video_id = f.video_id AND p.pts >= f.t)
+SELECT video_id, pts, CASE WHEN pts - t <= 4 THEN frame_id END AS frame_id FROM m""")
+def asof_frame(spark, d):
+    """Within a tolerance."""
+    thumbs = S.thumbnails(spark, d)
+    at = thumbs.select("video_id", (F.col("t") + F.lit(0.5)).cast("double").alias("pts"))
+    return O.asof_backward(at, thumbs.filter("t % 7 = 3"), ["video_id"], "pts", "t", "frame_id", 4.0).select("video_id", "pts", "frame_id")
+
+
+@query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
+def first_seen_dedup(spark, d):
+    """W10."""
+    return S.table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text")
+
+
+_PASSAGES = f"""{RANKED}, {results_sql(24)},
+wide AS (SELECT query_id, video_id, rank, greatest(0.0::DOUBLE, start_s - 12) AS start_s, end_s + 15 AS end_s FROM results),
+reach AS (SELECT *, max(end_s) OVER (PARTITION BY query_id, video_id ORDER BY start_s, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM wide),
+isl AS (SELECT *, sum(CASE WHEN start_s <= reach + 1.0 THEN 0 ELSE 1 END) OVER (PARTITION BY query_id, video_id ORDER BY start_s, rank ROWS UNBOUNDED PRECEDING) AS island FROM reach),
+merged AS (SELECT query_id, video_id, min(start_s) AS w_start, max(end_s) AS w_end, min(rank) AS rank FROM isl GROUP BY query_id, video_id, island),
+own AS (SELECT m.query_id, m.video_id, m.rank, m.w_start, m.w_end, s.idx, s.start_s, s.end_s, s.text FROM merged m JOIN seg s ON s.video_id = m.video_id AND s.end_s >= m.w_start AND s.start_s <= m.w_end
+  QUALIFY row_number() OVER (PARTITION BY m.query_id, m.video_id, s.idx ORDER BY m.w_start) = 1)"""
+
+
+@query(f"""WITH RECURSIVE {_PASSAGES} SELECT query_id, video_id, rank, w_start, w_end, min(start_s) AS start_s, max(end_s) AS end_s, count(*) AS n_segments,
+  array_to_string(list_filter(list(trim(text) ORDER BY idx), lambda x: x <> ''), ' ') AS text FROM own GROUP BY query_id, video_id, rank, w_start, w_end""")
+def context_passages(spark, d):
+    """C3 up to the budget."""
+    found = X.passages(S.segments(spark, d), PARSED)
+    return found.select("query_id", "video_id", "rank", "w_start", "w_end", "start_s", "end_s", F.size("parts").cast("long").alias("n_segments"), "text")
+
+
+@query()
+def context_text(spark, d):
+    """The assembled text within 400 tokens, with frames."""
+    seg = S.segments(spark, d)
+    facts = seg.groupBy("video_id").agg(F.max("end_s").alias("duration")).select("video_id", F.concat(F.lit("document "), "video_id").alias("name"), "duration", F.lit("en").alias("language"), F.lit("complete").alias("status"), F.col("duration").alias("indexed_until"))
+    frames = S.thumbnails(spark, d).filter("t % 5 = 0").select("video_id", F.col("t").cast("double").alias("t"), "frame_id")
+    out = X.assemble(X.passages(seg, PARSED), facts, PARSED, X.ContextOptions(max_tokens=400), frames=frames)
+    return out.withColumn("segments", F.array_join("segments", " ")).withColumn("frames", F.array_join("frames", " "))

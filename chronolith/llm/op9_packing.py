@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, grouped_prefix
+from .common import WORD, grouped_prefix, materialise
 
 BUCKETS = 16
 BUDGET = 65_536
@@ -63,7 +63,8 @@ def boundaries(tops: np.ndarray, counts: np.ndarray, totals: np.ndarray, buckets
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """doc_id, n_tokens, bucket (from 0), padded_len, batch_id (bucket-number), slot for every row."""
     length = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)) if length is None else length
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), length.cast("long").alias("n_tokens"))
+    # Texts are read once; what follows works on two numbers a document.
+    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), length.cast("long").alias("n_tokens")), "lengths")
     bins = rows.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("total")).orderBy("bin").collect()
     tops = boundaries(np.array([r["top"] for r in bins]), np.array([r["n"] for r in bins], np.int64), np.array([r["total"] for r in bins], np.int64), buckets)
     edges = F.array(*map(F.lit, tops)).cast("array<bigint>")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, grouped_prefix
+from .common import WORD, grouped_prefix, materialise
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -45,6 +45,8 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
     """doc_id, source, size, source_size, target, taken for every row; with carry, every column of docs as the struct `row`, too."""
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)) if size is None else size
     rows = docs.select("doc_id", "source", size.cast("long").alias("size"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
+    if not carry:  # texts are read once
+        rows = materialise(rows, "sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     slim = grouped_prefix(rows, F.col("source"), F.md5(id_text.cast("binary")), F.col("size"), [F.col("doc_id"), F.col("size")])

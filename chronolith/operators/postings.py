@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -88,32 +89,68 @@ def query_units(spark: SparkSession, queries: dict[int, Query]) -> DataFrame:
     return spark.createDataFrame(rows, "query_id int, unit int, kind string, words array<string>")
 
 
-def unit_frequencies(indexed: DataFrame, units: DataFrame, kinds: tuple[str, ...] = ("term", "prefix", "phrase")) -> DataFrame:
-    """query_id, unit, video_id, idx, dl, tf for segments in which a unit of a query occurs.
+#: Up to so many units, each is counted on a segment's tokens where they are; more are joined to exploded tokens.
+COUNTED_IN_PLACE = 64
 
-    units comes from the queries of one call, so it is small and broadcast.  Single words and
-    prefixes are matched as words are exploded, before any shuffle; phrases on token arrays
-    that hold all of their words.
+
+def unit_frequencies(indexed: DataFrame, queries: dict[int, Query], kinds: tuple[str, ...] = ("term", "prefix", "phrase")) -> DataFrame:
+    """query_id, unit, tf beside the columns of indexed, for segments in which a unit of a query occurs.
+
+    Counting in place moves nothing, so what follows by timeline stays where the timeline is.
     """
+    specs = [(q, u, kind, words) for q, query in queries.items() for u, (kind, words) in enumerate(query.units()) if kind in kinds]
+    if not specs or len(specs) > COUNTED_IN_PLACE:
+        return _joined_frequencies(indexed, query_units(indexed.sparkSession, queries), kinds)
+
+    def times(kind: str, words: list[str]) -> Column:
+        if kind == "phrase":
+            return T.phrase_count(F.col("tokens"), F.array(*map(F.lit, words)))
+        return F.size(F.filter("tokens", lambda t: t.startswith(words[0]) if kind == "prefix" else t == words[0]))
+
+    counts = F.array(*(F.struct(F.lit(q).alias("query_id"), F.lit(u).alias("unit"), times(kind, words).cast("long").alias("tf")) for q, u, kind, words in specs))
+    # Most segments have none of the words: one look spares the counting.
+    heads = sorted({words[0] for _, _, kind, words in specs if kind != "prefix"})
+    stems = [words[0] for _, _, kind, words in specs if kind == "prefix"]
+    some = F.arrays_overlap("tokens", F.array(*map(F.lit, heads))) if heads else F.lit(False)
+    for stem in stems:
+        some = some | F.exists("tokens", _begins(stem))
+    found = indexed.filter(some).select("*", F.explode(F.filter(counts, lambda c: c["tf"] > 0)).alias("__u"))
+    return found.select(*indexed.columns, "__u.query_id", "__u.unit", "__u.tf")
+
+
+def _begins(stem: str):
+    return lambda token: token.startswith(stem)
+
+
+def _joined_frequencies(indexed: DataFrame, units: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """The same for many queries at once: words and stems of one call are broadcast to exploded tokens."""
     units = F.broadcast(units.filter(F.col("kind").isin(*kinds)))
-    words = indexed.select("video_id", "idx", "dl", F.explode("tokens").alias("term"))
+    words = indexed.select("video_id", "idx", F.explode("tokens").alias("term"))
     first = F.get(F.col("words"), F.lit(0))
-    keys = ["query_id", "unit", "video_id", "idx", "dl"]
+    keys = ["query_id", "unit", "video_id", "idx"]
     exact = words.join(units.filter("kind = 'term'").select("query_id", "unit", first.alias("term")), "term")
     starts = units.filter("kind = 'prefix'").select("query_id", "unit", first.alias("stem"))
     prefix = words.join(F.broadcast(starts), F.startswith("term", "stem"))
     single = exact.select(*keys).unionByName(prefix.select(*keys)).groupBy(*keys).agg(F.count("*").alias("tf"))
     phrases = F.broadcast(units.filter("kind = 'phrase'").select("query_id", "unit", "words"))
-    runs = indexed.select("video_id", "idx", "dl", "tokens").join(phrases, F.forall("words", lambda w: F.array_contains("tokens", w)))
+    runs = indexed.select("video_id", "idx", "tokens").join(phrases, F.forall("words", lambda w: F.array_contains("tokens", w)))
     runs = runs.select(*keys, T.phrase_count(F.col("tokens"), F.col("words")).cast("long").alias("tf")).filter("tf > 0")
-    return single.unionByName(runs)
+    return indexed.join(single.unionByName(runs), ["video_id", "idx"]).select(*indexed.columns, "query_id", "unit", "tf")
+
 
+def with_stats(indexed: DataFrame) -> DataFrame:
+    """indexed with n_docs and avgdl of its timeline on every row."""
+    own = W.partitionBy("video_id")
+    return indexed.withColumn("n_docs", F.count("*").over(own)).withColumn("avgdl", F.avg("dl").over(own))
 
-def bm25(found: DataFrame, stats: DataFrame) -> DataFrame:
-    """M7: query_id, video_id, idx, score (higher is better): the sum over a query's units."""
-    per_unit = found.groupBy("query_id", "unit", "video_id").agg(F.count("*").alias("n"))
+
+def bm25(found: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """M7: query_id, video_id, idx, score (higher is better), and columns of a segment to carry along.
+
+    found: unit_frequencies() of an index with stats.
+    """
+    n = F.count("*").over(W.partitionBy("video_id", "query_id", "unit"))
     idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weighted = per_unit.join(stats, "video_id").withColumn("idf", F.when(idf > 0, idf).otherwise(1e-6)).drop("n")
-    joined = found.join(weighted, ["query_id", "unit", "video_id"])
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    return joined.groupBy("query_id", "video_id", "idx").agg(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"))
+    part = F.when(idf > 0, idf).otherwise(1e-6) * F.col("tf") * (K1 + 1) / norm
+    return found.withColumn("n", n).groupBy("query_id", "video_id", "idx").agg(F.sum(part).alias("score"), *(F.first(c).alias(c) for c in carry))

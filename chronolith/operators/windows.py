@@ -34,6 +34,18 @@ def hit_groups(hits: DataFrame, keys: list[str], merge_gap: Column | float, max_
     return marked.withColumn("grp", F.last(F.when(F.col("__first"), F.col(idx)), ignorenulls=True).over(order)).drop("__first")
 
 
+def group_marks(ordered: Column, merge_gap: float, max_window: float) -> Column:
+    """W1 over an array of (s, e) in order: the places (from 1) at which groups begin."""
+    zero = F.struct(F.lit(None).cast("double").alias("s"), F.lit(None).cast("double").alias("e"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("begun"))
+
+    def step(a: Column, h: Column) -> Column:
+        joins = a["s"].isNotNull() & (h["s"] - a["e"] <= merge_gap) & (h["e"] - a["s"] <= max_window)
+        place = a["n"] + 1
+        return F.struct(F.when(joins, a["s"]).otherwise(h["s"]).alias("s"), F.when(joins, F.greatest(a["e"], h["e"])).otherwise(h["e"]).alias("e"), place.alias("n"), F.when(joins, a["begun"]).otherwise(F.array_append(a["begun"], place)).alias("begun"))
+
+    return F.aggregate(ordered, zero, step)["begun"]
+
+
 def interval_merge(rows: DataFrame, keys: list[str], slack: float, start: str = "start_s", end: str = "end_s", tie: str = "rank") -> DataFrame:
     """Merges intervals that start at most slack after the greatest end so far; start, end, least `tie`."""
     order = W.partitionBy(*keys).orderBy(start, tie)

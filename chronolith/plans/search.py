@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions.clock import numbered_id
 from ..operators import postings as P
 from ..operators.chunks import ordered_texts
-from ..operators.windows import hit_groups, overlap_join
+from ..operators.windows import group_marks, overlap_join
 
 KEYS = ["query_id", "video_id"]
 
@@ -41,11 +41,9 @@ def in_range(start: float | None, end: float | None) -> Column:
 
 def candidates(segments: DataFrame, queries: dict[int, P.Query], options: SearchOptions = SearchOptions(), kinds: tuple[str, ...] = ("term", "prefix", "phrase")) -> DataFrame:
     """L1: the best hits of each query in each timeline, with their segments: score, start_s, end_s, text, tokens."""
-    indexed = P.index(segments)
-    units = P.query_units(segments.sparkSession, queries)
-    scored = P.bm25(P.unit_frequencies(indexed, units, kinds), P.corpus_stats(indexed))
-    within = indexed.filter(in_range(options.start, options.end)) if options.start is not None or options.end is not None else indexed
-    hits = scored.join(within.select("video_id", "idx", "start_s", "end_s", "text", "tokens"), ["video_id", "idx"])
+    indexed = P.with_stats(P.index(segments))
+    found = P.unit_frequencies(indexed, queries, kinds)
+    hits = P.bm25(found, ("start_s", "end_s", "text", "tokens")).filter(in_range(options.start, options.end))
     best = W.partitionBy(*KEYS).orderBy(F.desc(F.round("score", 9)), "idx")
     return hits.withColumn("hit_rank", F.row_number().over(best)).filter(F.col("hit_rank") <= max(64, options.limit * options.candidates_per_result))
 
@@ -81,11 +79,23 @@ def _by_query(queries: dict[int, P.Query], value) -> Column:
 
 
 def scored_windows(hits: DataFrame, queries: dict[int, P.Query], options: SearchOptions = SearchOptions()) -> DataFrame:
-    """Windows of hits with score, matched, first_idx, last_idx, start_s, end_s."""
-    grouped = hit_groups(hits, KEYS, options.merge_gap, options.max_window)
-    flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "tokens"))), lambda x: x["tokens"]))
-    top, total = F.max("score"), F.sum("score")
-    windows = grouped.groupBy(*KEYS, "grp").agg(F.count("*").alias("hits"), (top + 0.5 * (total - top)).alias("relevance"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), flat.alias("tokens"))
+    """Windows of hits with score, matched, first_idx, last_idx, start_s, end_s.
+
+    A query has a few dozen candidates in a timeline, so they are folded as one array and cut
+    into windows there, without a join.
+    """
+    hit = F.struct("idx", "start_s", "end_s", "score", "tokens")
+    lists = hits.groupBy(*KEYS).agg(F.array_sort(F.collect_list(hit), lambda a, b: (a["idx"] - b["idx"]).cast("int")).alias("h"))
+    marks = group_marks(F.transform("h", lambda h: F.struct(h["start_s"].alias("s"), h["end_s"].alias("e"))), options.merge_gap, options.max_window)
+    cut = lists.withColumn("b", marks).withColumn("b", F.concat("b", F.array(F.size("h") + 1)))
+    each = cut.select(*KEYS, F.explode(F.transform(F.sequence(F.lit(1), F.size("b") - 1), lambda i: F.slice("h", F.element_at("b", i), F.element_at("b", i + 1) - F.element_at("b", i)))).alias("w"))
+    scores = F.transform("w", lambda h: h["score"])
+    top = F.array_max(scores)
+    total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
+    windows = each.select(
+        *KEYS, F.size("w").cast("long").alias("hits"), (top + 0.5 * (total - top)).alias("relevance"), F.array_min(F.transform("w", lambda h: h["start_s"])).alias("start_s"), F.array_max(F.transform("w", lambda h: h["end_s"])).alias("end_s"),
+        F.element_at("w", 1)["idx"].alias("first_idx"), F.element_at("w", -1)["idx"].alias("last_idx"), F.flatten(F.transform("w", lambda h: h["tokens"])).alias("tokens"),
+    )
     windows = windows.withColumn("matched", matched_terms(F.col("query_id"), F.col("tokens"), queries))
     coverage = F.size("matched") / F.greatest(_by_query(queries, lambda q: len(q.terms)).cast("int"), F.lit(1))
     phrase = _by_query(queries, lambda q: " ".join(q.phrase) or None)

@@ -122,8 +122,7 @@ def corpus_stats(spark, d):
 
 
 def _scored(spark, d, kinds):
-    indexed = P.index(S.segments(spark, d))
-    out = P.bm25(P.unit_frequencies(indexed, P.query_units(spark, PARSED), kinds), P.corpus_stats(indexed))
+    out = P.bm25(P.unit_frequencies(P.with_stats(P.index(S.segments(spark, d))), PARSED, kinds))
     return out.select("query_id", "video_id", "idx", F.round("score", 6).alias("score"))
 
 
@@ -147,6 +146,13 @@ def bm25_phrase(spark, d):
     return _scored(spark, d, ("phrase",))
 
 
+@query(f"WITH {FREQ}, {bm25_sql()} SELECT query_id, video_id, idx, round(score, 6) AS score FROM scored")
+def bm25_joined(spark, d):
+    """M7, J1, J12 by the plan for many queries."""
+    found = P._joined_frequencies(P.with_stats(P.index(S.segments(spark, d))), P.query_units(spark, PARSED), ("term", "prefix", "phrase"))
+    return P.bm25(found).select("query_id", "video_id", "idx", F.round("score", 6).alias("score"))
+
+
 #: Hits with their segments, best first, at most 80 a query and timeline.
 HITS = FREQ + ", " + bm25_sql() + """,
 hits AS (SELECT s.query_id, s.video_id, s.idx, s.score, t.start_s, t.end_s, t.text, t.tokens,

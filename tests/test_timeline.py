@@ -51,8 +51,7 @@ def test_bm25_is_fts5_s(spark):
     for text in ("alpha", "deployment omega", "beta gamma deltas", "deploy"):
         q = P.Query.parse(text)
         want = {r: -s for r, s in db.execute("select rowid, bm25(f) from f where f match ?", (q.expression(),))}
-        indexed = P.index(rows(spark, texts))
-        got = P.bm25(P.unit_frequencies(indexed, P.query_units(spark, {0: q})), P.corpus_stats(indexed)).collect()
+        got = P.bm25(P.unit_frequencies(P.with_stats(P.index(rows(spark, texts))), {0: q})).collect()
         assert {r["idx"] for r in got} == set(want)
         for r in got:
             assert r["score"] == pytest.approx(want[r["idx"]], abs=1e-9)

@@ -32,8 +32,9 @@ from .common import BLANKS, payload, slices
 
 SYMBOLS = b"#*$%&|<>"
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-SENTENCE_MARK = re.compile("[.!?:;…。！？؟।]".encode())
-SEPARATOR = re.compile("[|>•·»›]".encode())
+#: Over UTF-8 bytes, so a character beyond ASCII is a sequence, not members of a class.
+SENTENCE_MARK = re.compile("[.!?:;]|…|。|！|？|؟|।".encode())
+SEPARATOR = re.compile("[|>]|•|·|»|›".encode())
 #: Words of which a menu line consists.
 MENU = frozenset(b"home menu login logout register search contact about next previous back top help faq share print sitemap archive categories tags comments".split())
 BOILERPLATE = re.compile(rb"(?i)all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|enable javascript|accept (?:all )?cookies|subscribe to our newsletter|click here to|powered by [a-z]+$")
@@ -143,3 +144,34 @@ def clean_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array([g[6] for g in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+_LINE = r"""line AS (SELECT rid, n, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS list
+  FROM (SELECT rid, n, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d))"""
+SQL = (
+    r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS list, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM t),
+g AS (SELECT rid, i, list[i:i + 4] AS w FROM (SELECT rid, list, unnest(range(1, n - 3)) AS i FROM d)),
+twice AS (SELECT rid, unnest(list(i)) AS i FROM g GROUP BY rid, w HAVING count(*) > 1),
+rep AS (SELECT rid, count(DISTINCT p) AS r FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY rid),
+"""
+    + _LINE
+    + r""",
+judged AS (SELECT rid, n, pos, line, words, row_number() OVER (PARTITION BY rid, line ORDER BY pos) > 1 AS dup,
+  words >= 4 AND length(regexp_replace(line, '[^!-/:-@\[-`{-~]', '', 'g')) > 0.9 * words
+  OR words >= 20 AND NOT regexp_matches(line, '[.!?:;…。！？؟।]')
+  OR len(regexp_extract_all(line, '[|>•·»›]')) >= 3 AND 3 * len(regexp_extract_all(line, '[|>•·»›]')) >= words
+  OR words <= 6 AND len(list_filter(list, lambda x: NOT regexp_full_match(x, '(?i)home|menu|login|logout|register|search|contact|about|next|previous|back|top|help|faq|share|print|sitemap|archive|categories|tags|comments'))) = 0
+  OR regexp_matches(line, '(?i)all rights reserved|cookie policy|privacy policy|terms of (use|service)|enable javascript|accept (all )?cookies|subscribe to our newsletter|click here to|powered by [a-z]+$') AS fails
+  FROM line WHERE words > 0),
+lost AS (SELECT rid, count(*) FILTER (dup) AS dups, coalesce(sum(words) FILTER (fails), 0) AS lost FROM judged GROUP BY rid),
+m AS (SELECT doc_id, n::BIGINT AS n_words, (length(text) - length(regexp_replace(text, '[^ 	-
+]', '', 'g')))::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dups, 0)::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM d LEFT JOIN rep USING (rid) LEFT JOIN lost USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost <= 0.5 * n_words AS kept
+FROM m
+"""
+)

@@ -25,32 +25,44 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Folders made where spark.checkpoint.dir is unset, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset, as in tests."""
+    context = spark.sparkContext
+    at = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(context.applicationId)
     if not at:
-        at = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _OWN[context.applicationId] = tempfile.mkdtemp(prefix="shared-")
     return at.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later jobs start from files that survive lost executors."""
+def _path(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: later jobs start from files that survive lost executors.
+
+    The files go when the driver ends, or with discard().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema if partition_by else df.schema).parquet(path)
+    df.write.parquet(path)
+    files, at = _path(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
     """Removes a table that materialise() wrote, once no later plan reads it."""
-    spark = df.sparkSession
-    jvm, files = spark.sparkContext._jvm, df.inputFiles()
-    if files:
-        root = files[0][: files[0].index("/", files[0].index(shared_dir(spark).split(":")[-1]) + len(shared_dir(spark).split(":")[-1]) + 1)]
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    files, at = _path(df.sparkSession, df.written_to)
+    files.delete(at, True)
 
 
 def id_crc(column: str | Column) -> Column:

@@ -42,7 +42,7 @@ BOILERPLATE = re.compile(rb"(?i)all rights reserved|cookie policy|privacy policy
 
 @dataclass(frozen=True)
 class Rules:
-    max_punct: float = 0.9
+    max_punct: float = 1.5
     long_line: int = 20
     max_loss: float = 0.5
     min_words: int = 10
@@ -159,7 +159,7 @@ rep AS (SELECT rid, count(DISTINCT p) AS r FROM (SELECT rid, unnest(range(i, i +
     + _LINE
     + r""",
 judged AS (SELECT rid, n, pos, line, words, row_number() OVER (PARTITION BY rid, line ORDER BY pos) > 1 AS dup,
-  words >= 4 AND length(regexp_replace(line, '[^!-/:-@\[-`{-~]', '', 'g')) > 0.9 * words
+  words >= 4 AND length(regexp_replace(line, '[^!-/:-@\[-`{-~]', '', 'g')) > 1.5 * words
   OR words >= 20 AND NOT regexp_matches(line, '[.!?:;…。！？؟।]')
   OR len(regexp_extract_all(line, '[|>•·»›]')) >= 3 AND 3 * len(regexp_extract_all(line, '[|>•·»›]')) >= words
   OR words <= 6 AND len(list_filter(list, lambda x: NOT regexp_full_match(x, '(?i)home|menu|login|logout|register|search|contact|about|next|previous|back|top|help|faq|share|print|sitemap|archive|categories|tags|comments'))) = 0

@@ -115,7 +115,7 @@ class Store:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int64()), pa.array(names, pa.string())], names=[*b.schema.names, "__bytes", "shard"])
 
         schema = T.StructType([*rows.schema.fields, T.StructField("__bytes", T.LongType()), T.StructField("shard", T.StringType())])
-        rows.mapInArrow(run, schema).write.partitionBy("shard").parquet(folder)
+        rows.mapInArrow(run, schema).write.option("compression", "zstd").partitionBy("shard").parquet(folder)
         return self.commit([*old["tables"], {"data": folder, "retired": None, "schema": json.loads(schema.json())}], old["version"])
 
     def compact(self, target: int = TARGET, fanin: int = FANIN, small: int = SMALL) -> int:
@@ -131,7 +131,7 @@ class Store:
         merges = self.spark.read.parquet(f"{folder}-plan")
         moved = live.join(merges, "shard").drop("shard").withColumnRenamed("into", "shard")
         # A target-sized shard fits one task, which writes it as one file.
-        moved.repartition(partitions(self.spark), "shard").write.partitionBy("shard").parquet(folder)
+        moved.repartition(partitions(self.spark), "shard").write.option("compression", "zstd").partitionBy("shard").parquet(folder)
         merges.select("shard").write.parquet(f"{folder}-retired")
         schema = T.StructType([f for f in live.schema.fields if f.name != "shard"] + [T.StructField("shard", T.StringType())])
         tables = [t | {"retired": self._join_retired(t, f"{folder}-retired")} for t in old["tables"]]

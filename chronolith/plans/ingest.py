@@ -6,8 +6,8 @@ Silence never reaches the recogniser, which is a plug-in and is loaded once in e
 
 from __future__ import annotations
 
-import json
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 from typing import Protocol
@@ -22,6 +22,14 @@ from ..operators import speech as S
 from ..sources import media as M
 
 
+# U9, settings by profile, for recognisers that know these names.
+PROFILES = {
+    "fast": {"model": "base", "compute_type": "auto", "beam_size": 1},
+    "balanced": {"model": "small", "compute_type": "auto", "beam_size": 1},
+    "accurate": {"model": "medium", "compute_type": "auto", "beam_size": 5},
+}
+
+
 @dataclass(frozen=True)
 class Heard:
     """What a recogniser found, in seconds from the start of the pack."""

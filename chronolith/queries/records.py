@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import clock as C
 from ..operators import runs as O
 from ..sources import tables as S
 from .base import RUNS, SEG, query

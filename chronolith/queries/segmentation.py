@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import clock as C
 from ..functions import text as T
 from ..operators import chunks as K
 from ..operators import export as E
@@ -58,9 +57,6 @@ def chunk_backref(spark, d):
     return out.select("video_id", "idx", F.row_number().over(W.partitionBy("video_id", "idx").orderBy("first_segment")).alias("n"), "first_segment", "last_segment")
 
 
-_MS = CONV + ", cue AS (SELECT *, {} AS k FROM conv)"
-
-
 def _cue(t: str, mark: str) -> str:
     return "(" + _CUE.format(mark).replace("(k ", f"((greatest(round_even({t} * 1000, 0), 0)::BIGINT) ") + ")"
 

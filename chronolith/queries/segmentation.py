@@ -85,7 +85,7 @@ def export_text(spark, d):
     return E.to_text(S.conversation_segments(spark, d))
 
 
-@query()
+@query(f"""WITH {CONV} SELECT video_id, '{{"segments":[' || string_agg('{{"id":"seg_' || lpad(idx::VARCHAR, 5, '0') || '","start":' || start_s::VARCHAR || ',"end":' || end_s::VARCHAR || ',"text":' || to_json(text)::VARCHAR || ',"language":null}}', ',' ORDER BY idx) || ']}}' AS json FROM conv GROUP BY video_id""")
 def export_json(spark, d):
     """Nulls are kept."""
     return E.to_json(S.conversation_segments(spark, d))
@@ -118,7 +118,34 @@ def block_assembly(spark, d):
     return P.assemble_blocks(pieces, 5000).groupBy("stream_id", "block").agg(F.sum("n").alias("samples"), F.min("seq").alias("first_seq"))
 
 
-@query()
+#: The detector, one window a step, then padding and merging, one span a step.  Samples: 28 s 448000, padding 3200,
+#: least speech 4000, least silence 8000, silence to cut at 1568, merge gap 5600.
+_VAD = f"""{SPEECH},
+det AS (SELECT stream_id, -1::BIGINT AS w, NULL::BIGINT AS onset, 0::BIGINT AS quiet, 0::BIGINT AS cut, 0::BIGINT AS resume, NULL::BIGINT AS s, NULL::BIGINT AS e FROM speech WHERE w = 0
+  UNION ALL SELECT stream_id, w, CASE WHEN fin THEN NULL ELSE onset2 END, CASE WHEN fin THEN 0 ELSE quiet3 END, CASE WHEN fin THEN 0 ELSE cut3 END, CASE WHEN fin THEN 0 ELSE resume2 END,
+    CASE WHEN over THEN onset1 WHEN fin AND quiet3 - onset2 > 4000 THEN onset2 END, CASE WHEN over AND cut = 0 THEN now WHEN over THEN cut WHEN fin AND quiet3 - onset2 > 4000 THEN quiet3 END
+  FROM (SELECT *, now - quiet3 >= 8000 AND low AS fin, CASE WHEN low AND now - quiet3 > 1568 THEN quiet3 ELSE cut2 END AS cut3
+    FROM (SELECT *, CASE WHEN low AND quiet2 = 0 THEN now ELSE quiet2 END AS quiet3
+      FROM (SELECT *, onset2 IS NOT NULL AND NOT begun AND p < 0.35 AS low
+        FROM (SELECT *, CASE WHEN begun THEN now WHEN over AND cut = 0 THEN NULL WHEN over THEN CASE WHEN resume1 < cut THEN NULL ELSE resume1 END ELSE onset1 END AS onset2,
+            CASE WHEN over THEN 0 ELSE quiet1 END AS quiet2, CASE WHEN over THEN 0 ELSE cut END AS cut2, CASE WHEN over THEN 0 ELSE resume1 END AS resume2
+          FROM (SELECT o.stream_id, o.w, o.p, o.w * 512 AS now, g.onset AS onset1, g.cut, o.p >= 0.5 AND g.onset IS NULL AS begun, coalesce(o.w * 512 - g.onset > 448000 - 512 - 6400, false) AS over,
+              CASE WHEN o.p >= 0.5 THEN 0 ELSE g.quiet END AS quiet1, CASE WHEN o.p >= 0.5 AND g.quiet > 0 AND g.resume < g.cut THEN o.w * 512 ELSE g.resume END AS resume1
+            FROM det g JOIN speech o ON o.stream_id = g.stream_id AND o.w = g.w + 1)))))),
+ends AS (SELECT stream_id, (max(w) + 1) * 512 AS total FROM speech GROUP BY stream_id),
+spans AS (SELECT stream_id, s, e FROM det WHERE s IS NOT NULL
+  UNION ALL SELECT d.stream_id, d.onset, n.total FROM det d JOIN ends n ON n.stream_id = d.stream_id AND d.w = n.total // 512 - 1 WHERE n.total - d.onset > 4000),
+num AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY s) AS k FROM spans),
+reg AS (SELECT stream_id, k, greatest(s - 3200, 0) AS a, e + 3200 AS b, e AS raw, 0::BIGINT AS settled, NULL::BIGINT AS x, NULL::BIGINT AS y FROM num WHERE k = 1
+  UNION ALL SELECT stream_id, k, CASE WHEN joins THEN a WHEN lo < b THEN mid ELSE greatest(lo, b) END, CASE WHEN joins THEN greatest(b, hi) ELSE hi END, e,
+    CASE WHEN joins THEN settled WHEN lo < b THEN mid ELSE b END, CASE WHEN joins THEN NULL ELSE a END, CASE WHEN joins THEN NULL WHEN lo < b THEN mid ELSE b END
+  FROM (SELECT *, lo - b <= 5600 AND hi - a <= 448000 AS joins, greatest(a + 1, (raw + s) // 2) AS mid
+    FROM (SELECT n.stream_id, n.k, n.s, n.e, g.a, g.b, g.raw, g.settled, greatest(n.s - 3200, g.settled, 0) AS lo, n.e + 3200 AS hi FROM reg g JOIN num n ON n.stream_id = g.stream_id AND n.k = g.k + 1))),
+found AS (SELECT stream_id, x AS s, y AS e FROM reg WHERE x IS NOT NULL UNION ALL SELECT stream_id, a, b FROM reg QUALIFY k = max(k) OVER (PARTITION BY stream_id))"""
+
+
+@query(f"""WITH RECURSIVE {_VAD} SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY s) - 1 AS region, s AS start_sample, least(e, total) AS end_sample
+FROM found JOIN ends USING (stream_id) WHERE least(e, total) > s""")
 def vad_regions(spark, d):
     """C4."""
     return P.speech_regions(S.speech_windows(spark, d))

@@ -1,6 +1,6 @@
 """Connected components by alternating large-star and small-star steps.
 
-Nodes are binary keys.  Every step is a grouped minimum and a join on shuffled edges; what it
+Nodes are keys of any type that is ordered.  Every step is a grouped minimum and a join on shuffled edges; what it
 makes is written to the shared folder, so lineage stays short and nothing but two numbers
 reaches the driver.
 """

@@ -1,20 +1,24 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is the set of its distinct word shingles, as 64-bit hashes.  Two sets of Jaccard
-similarity t or more that are ordered by the same total order share l tokens among the first
-n - ceil(t n) + l of each, for any l.  Each document takes the l that lowers its estimated
-cost: the postings its prefix meets, and the candidates to verify, of which there can be at
-most that number divided by l.  A pair then has to share the lesser of its two l's.
+A document is the set of its distinct word shingles, as 64-bit hashes.  Two sets of n and m
+tokens with Jaccard similarity t or more have a = ceil(t (n + m) / (1 + t)) tokens in common,
+and if both are ordered by the same total order they share l tokens among the first n - a + l
+of one and m - a + l of the other, for any l.  Each document takes the l that lowers its
+estimated cost: the other sets on the postings of its prefix, and the candidates to verify, of
+which there can be at most that number divided by l.  A pair then has to share the lesser of
+its two l's.
 
 The order is by how often a token occurs, rarest first, from counts in 2 ** SKETCH_BITS
 buckets over all documents (a fixed size; one byte a bucket is broadcast), then by hash.
 
 Only components are asked for, so links inside a known component need no verification:
 1. sets are folded to one for each distinct content;
-2. each set meets the least set of the prefix tokens it is in (a star, not all pairs), the one
-   with most tokens in common; verified links give a first partition;
-3. tokens whose sets lie in more than one part make candidate pairs across parts, those with
-   the token's most frequent part on one side only; all of these are verified.
+2. for each prefix token one set is the hub, that whose prefix is met by most others, so that
+   originals come before their edited copies; each set meets the hub it has most tokens in
+   common with (a star, not all pairs); verified links give a first partition;
+3. tokens whose sets lie in more than one part make candidate pairs across parts, the token's
+   most frequent part being on one side at most; a pair is made at the first token it has in
+   common, if it has as many as it asks for, and all of these are verified.
 Any link joins sets that are in one part after 2, or are a candidate in 3, so none is lost.
 
 Defined cases: null and blank texts have an empty set and are linked with nothing; texts of
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,11 +42,14 @@ from pyspark.sql import types as T
 from .common import discard, materialise, partitions, payload, skew_safe_lookup, slices
 from .components import components
 
-SKETCH_BITS = 22
+SKETCH_BITS = 24
 CHUNKS = 64
 MOST_MATCHES = 8
 VERIFY_WEIGHT = 20.0
 WORD_HASHES = 300_000
+FILTER_BITS = 26
+#: Of each prefix so many tokens go along with candidates at most; pairs that need more are counted after the join.
+HEAD = 64
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -74,6 +81,17 @@ def set_key(s: np.ndarray) -> bytes:
     return xxhash.xxh128_digest(s.tobytes())
 
 
+def packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash; a chance match adds to an overlap once in some 10 ** 9 pairs and never takes from it."""
+    return (s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64)[:, 0]
+
+
 def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
     """log2 of the number of sets with a token in each bucket, in eighths: one byte a bucket."""
     buckets = 1 << SKETCH_BITS
@@ -89,13 +107,13 @@ def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
                 at, n = np.unique(np.concatenate(held), return_counts=True)
                 total[at.astype(np.int64)] += n.astype(np.uint32)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([zlib.compress(total[i * own : (i + 1) * own].tobytes(), 1) for i in range(CHUNKS)], pa.binary())], names=["chunk", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([zlib.compress(np.minimum(total[i * own : (i + 1) * own], 65535).astype(np.uint16).tobytes(), 1) for i in range(CHUNKS)], pa.binary())], names=["chunk", "data"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for chunk, data in zip(b.column("chunk").to_pylist(), b.column("data").to_pylist()):
-                part = np.frombuffer(zlib.decompress(data), np.uint32)
+                part = np.frombuffer(zlib.decompress(data), np.uint16)
                 total[chunk] = total[chunk] + part if chunk in total else part.astype(np.uint64)
         packed = [zlib.compress(np.minimum(255, np.round(8 * np.log2(1.0 + v))).astype(np.uint8).tobytes(), 1) for v in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "data"])
@@ -107,19 +125,25 @@ def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def prefix(s: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
-    """The number of matches that a set asks for, and its prefix."""
+def noise(sketch: np.ndarray) -> float:
+    """What a bucket holds of other tokens: the mean and two deviations."""
+    mean = float((2.0 ** (sketch / 8.0) - 1.0).mean())
+    return mean + 2 * mean**0.5
+
+
+def prefix(s: np.ndarray, sketch: np.ndarray, percent: int, floor: float = 0.0) -> tuple[int, float, np.ndarray]:
+    """The number of matches that a set asks for, the estimated number of others its prefix meets, and the prefix."""
     n = len(s)
     level = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     least = -(-percent * n // 100)
     longest = min(n, n - least + MOST_MATCHES)
     # Levels ascending, hashes ascending within: s is sorted, so a stable sort does it.
     order = np.argsort(level, kind="stable")[:longest]
-    met = np.cumsum(2.0 ** (level[order] / 8.0) - 1.0)
+    others = np.cumsum(np.maximum(0.0, 2.0 ** (level[order] / 8.0) - 2.0 - floor))
     m = np.arange(1, min(MOST_MATCHES, least) + 1)
-    lists = met[n - least + m - 1]
+    lists = others[n - least + m - 1]
     best = int(m[np.argmin(lists + VERIFY_WEIGHT * lists / m)])
-    return best, s[order[: n - least + best]]
+    return best, float(lists[best - 1]), s[order[: n - least + best]]
 
 
 def _keyed(docs: DataFrame, width: int, carry: list[str]) -> DataFrame:
@@ -135,100 +159,185 @@ def _keyed(docs: DataFrame, width: int, carry: list[str]) -> DataFrame:
     return frame.mapInArrow(run, T.StructType([*frame.schema.fields[:-1], T.StructField("__key", T.BinaryType()), T.StructField("__n", T.LongType())]))
 
 
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of a fixed size over the column doc_id; made in the executors, chunk by chunk."""
+    size = 1 << (FILTER_BITS - 3)
+    own = size // CHUNKS
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, np.uint8)
+        for b in batches:
+            for at in _places(b.column("doc_id")):
+                np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        for i in np.nonzero(bits.reshape(CHUNKS, own).any(1))[0].tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(bits[i * own : (i + 1) * own].tobytes(), 1)], pa.binary())], names=["chunk", "data"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, data in zip(b.column("chunk").to_pylist(), b.column("data").to_pylist()):
+                bits = np.frombuffer(zlib.decompress(data), np.uint8)
+                total[chunk] = total[chunk] | bits if chunk in total else bits
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["chunk", "data"])
+
+    found = np.zeros(size, np.uint8)
+    for r in ids.mapInArrow(part, "chunk int, data binary").repartition(CHUNKS, "chunk").mapInArrow(merge, "chunk int, data binary").collect():
+        found[r["chunk"] * own : (r["chunk"] + 1) * own] = np.frombuffer(zlib.decompress(bytes(r["data"])), np.uint8)
+    return found
+
+
+def _places(ids: pa.Array) -> list[np.ndarray]:
+    """The two bits of each id; a null id has those of -1."""
+    x = ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    out = []
+    for factor in FACTORS[:2]:
+        y = (x + np.uint64(1)) * factor
+        y ^= y >> np.uint64(29)
+        out.append((y * FACTORS[3] >> np.uint64(64 - FILTER_BITS)).astype(np.int64))
+    return out
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set keys whose similarity reaches the threshold."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    ids = sets.join(wanted, "key", "left_semi").select("doc_id").distinct()
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    """The pairs (a, b) of sets whose similarity reaches the threshold.
+
+    Texts are not shuffled: the ids of the sets wanted pass a Bloom filter to the scan, which
+    hands on the sets of the documents that it lets through.
+    """
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    wanted = sets.join(wanted, "sid", "left_semi").select("sid", "key", "doc_id")
+    sent = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted.select("doc_id")))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        hashes, bits = _Hashes(), sent.value
         for b in slices(batches):
-            sets = [shingles(t, width, hashes) for t in b.column("text").to_pylist()]
-            for at in range(0, len(sets), 500):
-                part = sets[at : at + 500]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in part], pa.binary()), pa.array([s.tobytes() for s in part], pa.binary())], names=["key", "tokens"])
+            let = np.ones(b.num_rows, bool)
+            for at in _places(b.column("doc_id")):
+                let &= (bits[at >> 3] >> (at & 7)) & 1 == 1
+            own = [shingles(t, width, hashes) for t in b.filter(pa.array(let)).column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in own], pa.binary()), pa.array([packed(s) for s in own], pa.binary())], names=["key", "tokens"])
 
-    full = payload(texts).mapInArrow(build, "key binary, tokens binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    left = full.select(F.col("key").alias("a"), F.col("tokens").alias("ta"))
-    right = full.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
+    full = payload(docs, "doc_id").mapInArrow(build, "key binary, tokens binary").dropDuplicates(["key"]).join(wanted.select("sid", "key"), "key")
+    left = full.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
+    right = full.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             keep = []
             for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist()):
-                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                keep.append(100 * both >= percent * ((len(x) + len(y)) // 8 - both))
+                both = len(np.intersect1d(unpacked(x), unpacked(y), assume_unique=True))
+                keep.append(100 * both >= percent * ((len(x) + len(y)) // 6 - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a binary, b binary")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+
+
+def _overlap(n: Column, m: Column, percent: int) -> Column:
+    """Tokens that sets of n and m tokens have in common at least, if they link."""
+    return F.ceil((n + m) * percent / F.lit(100 + percent))
+
+
+def _may_link(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
+    """Whether a token at these places of two sets is one of those that a link between them has to share."""
+    a, asked = _overlap(x["n"], y["n"], percent), F.least(x["matches"], y["matches"])
+    sizes = (x["n"] * 100 >= y["n"] * percent) & (y["n"] * 100 >= x["n"] * percent)
+    return sizes & (x["pos"] < x["n"] - a + asked) & (y["pos"] < y["n"] - a + asked)
+
 
+def _lengths(x: dict[str, Column], y: dict[str, Column], percent: int) -> tuple[Column, Column, Column]:
+    """The lengths of the two prefixes that a pair compares, and how many common tokens it asks for."""
+    a, asked = _overlap(x["n"], y["n"], percent), F.least(x["matches"], y["matches"])
+    return (x["n"] - a + asked).cast("int"), (y["n"] - a + asked).cast("int"), asked
 
-def _fits(a: str, b: str, percent: int) -> F.Column:
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+
+def _matches(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
+    """At the first token that a pair has in common: whether it has as many as it asks for.
+
+    True at every token where one is enough, or where HEAD tokens do not tell.
+    """
+    p, q, asked = _lengths(x, y, percent)
+    both = F.array_intersect(F.slice(x["head"], F.lit(1), p), F.slice(y["head"], F.lit(1), q))
+    return (asked == 1) | (p > HEAD) | (q > HEAD) | ((F.size(both) >= asked) & (F.get(both, F.lit(0)) == x["token"]))
+
+
+def _asked_now(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
+    """How many rows a pair still has to have after the join: 1 where it was counted in it."""
+    p, q, asked = _lengths(x, y, percent)
+    return F.when((p > HEAD) | (q > HEAD), asked).otherwise(F.lit(1))
 
 
 def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
     """(rows, sets): rows has doc_id, __key, __n for each row of docs; sets has __key, component_id, keep_key, weight for each set."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(frequency_sketch(docs, width))
+    sketch = frequency_sketch(docs, width)
+    sent = spark.sparkContext.broadcast((sketch, noise(sketch)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, hashes, told = sent.value, _Hashes(), set()
+        (sketch, floor), hashes, told = sent.value, _Hashes(), set()
         for b in slices(batches):
-            keys, sizes, matches, tokens, offsets = [], [], [], [], [0]
+            keys, sizes, matches, mass, tokens, offsets = [], [], [], [], [], [0]
             for t in b.column("text").to_pylist():
                 s = shingles(t, width, hashes)
                 keys.append(key := set_key(s))
                 sizes.append(len(s))
-                m, p = prefix(s, sketch, percent) if len(s) and key not in told else (0, s[:0])
+                m, others, p = prefix(s, sketch, percent, floor) if len(s) and key not in told else (0, 0.0, s[:0])
                 told.add(key)
                 matches.append(m)
+                mass.append(others)
                 tokens.append(p)
                 offsets.append(offsets[-1] + len(p))
             if len(told) > 1_000_000:
                 told.clear()
             flat = pa.array(np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(matches, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=["doc_id", "__key", "__n", "matches", "tokens"])
-
-    table = materialise(payload(docs, "doc_id").mapInArrow(run, "doc_id long, __key binary, __n long, matches int, tokens array<long>"), "prefixes")
-    # A task describes a set once; the description with a prefix is the greatest.
-    own = table.filter("__n > 0").groupBy(F.col("__key").alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"), F.first("__n").alias("n"), F.max("matches").alias("matches"))
-    sets = materialise(own, "sets")
-    postings = table.filter("matches > 0").dropDuplicates(["__key"]).select(F.col("__key").alias("key"), F.col("__n").alias("n"), "matches", F.posexplode("tokens").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("key").alias("hub")).filter("df > 1")
-    met = materialise(postings.join(shared, "token").select("token", "key", "n", "matches", "pos", "hub"), "postings")
-
-    stars = met.filter("key <> hub").groupBy("key", "hub").agg(F.count("*").alias("common")).groupBy("key").agg(F.max(F.struct("common", "hub"))["hub"].alias("hub"))
-    lengths = sets.select("key", "n")
-    first = stars.join(lengths, "key").join(lengths.select(F.col("key").alias("hub"), F.col("n").alias("hn")), "hub").filter(_fits("n", "hn", percent))
-    first = materialise(first.select(F.col("key").alias("a"), F.col("hub").alias("b")), "stars")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(matches, pa.int32()), pa.array(mass, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=["doc_id", "__key", "__n", "matches", "mass", "tokens"])
+
+    table = materialise(payload(docs, "doc_id").mapInArrow(run, "doc_id long, __key binary, __n long, matches int, mass double, tokens array<long>"), "prefixes")
+    # Tasks describe a set once each; one description is enough.  Its number, sid, is fixed by writing it.
+    described = table.filter("matches > 0").dropDuplicates(["__key"]).select(F.monotonically_increasing_id().alias("sid"), F.col("__key").alias("key"), F.col("__n").cast("int").alias("n"), "matches", F.col("mass").cast("float").alias("mass"), "tokens")
+    described = materialise(described, "described")
+    counted = table.filter("__n > 0").groupBy(F.col("__key").alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"))
+    sets = materialise(counted.join(described.select("sid", "key"), "key"), "sets")
+    postings = described.select("sid", "n", "matches", "mass", F.posexplode("tokens").alias("pos", "token"))
+    # Most tokens are in one prefix only; they are found by tokens alone.
+    shared = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token")
+    met = materialise(postings.join(shared, "token"), "postings")
+    hubs = met.groupBy("token").agg(F.max(F.struct("mass", "sid", "n", "matches", "pos")).alias("hub"))
+
+    hub = {c: F.col(f"hub.{c}") for c in ("sid", "n", "matches", "pos")}
+    mine = {c: F.col(c) for c in hub}
+    stars = met.join(hubs, "token").filter((F.col("sid") != hub["sid"]) & _may_link(mine, hub, percent)).groupBy("sid", hub["sid"].alias("hub")).agg(F.count("*").alias("common"))
+    first = stars.groupBy(F.col("sid").alias("a")).agg(F.max(F.struct("common", "hub"))["hub"].alias("b"))
+    first = materialise(first, "stars")
     links = materialise(_verify(first, docs, sets, width, percent), "links")
     parts = materialise(components(links), "parts")
 
-    labelled = met.join(parts, "key", "left").select("token", "key", "n", "matches", "pos", F.coalesce("root", "key").alias("part"))
+    parts = parts.withColumnRenamed("key", "sid")
+    labelled = met.join(parts, "sid", "left").select("token", "sid", "n", "matches", "pos", F.coalesce("root", "sid").alias("part"))
     counted = labelled.groupBy("token", "part").agg(F.count("*").alias("c"))
     mixed = counted.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("c", "part"))["part"].alias("main")).filter("parts > 1").select("token", "main")
-    across = labelled.join(mixed, "token")
-    x = across.filter("part <> main").select("token", *(F.col(c).alias(f"x_{c}") for c in ("key", "n", "matches", "pos", "part")))
-    y = across.select("token", "main", *(F.col(c).alias(f"y_{c}") for c in ("key", "n", "matches", "pos", "part")))
-    # Sets outside the main part meet all others of the token; two such sets meet once, by key.
-    once = (F.col("y_part") == F.col("main")) | (F.col("x_key") < F.col("y_key"))
-    # With this token as the first in common, what is left has to hold the overlap that t asks for.
-    left = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) * (100 + percent) >= percent * (F.col("x_n") + F.col("y_n"))
-    pairs = x.join(y, (x["token"] == y["token"]) & (F.col("x_part") != F.col("y_part")) & once & _fits("x_n", "y_n", percent))
-    pairs = pairs.groupBy(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).agg(F.count("*").alias("common"), F.min(F.least("x_matches", "y_matches")).alias("asked"), F.max(left).alias("left"))
-    pairs = materialise(pairs.filter("common >= asked and left").select("a", "b"), "pairs")
+    across = labelled.join(mixed, "token").withColumn("main", F.col("part") == F.col("main"))
+    across = materialise(across.join(described.select("sid", F.when(F.col("matches") > 1, F.slice("tokens", 1, HEAD)).alias("head")), "sid"), "across")
+    # The smaller set of a pair (by size, then number) needs a shorter prefix than the larger.
+    short = across.filter(F.col("pos") < F.col("n") - _overlap(F.col("n"), F.col("n"), percent) + F.col("matches"))
+    fields = ("sid", "token", "n", "matches", "pos", "part", "head")
+
+    def meet(xs: DataFrame, ys: DataFrame) -> DataFrame:
+        x, y = (df.select(*(F.col(c).alias(f"{side}_{c}") for c in fields)) for side, df in (("x", xs), ("y", ys)))
+        at = [{c: F.col(f"{side}_{c}") for c in fields} for side in "xy"]
+        smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_sid") < F.col("y_sid")))
+        return x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_part") != F.col("y_part")) & smaller & _may_link(*at, percent) & _matches(*at, percent)).select(F.col("x_sid").alias("a"), F.col("y_sid").alias("b"), _asked_now(*at, percent).alias("asked"))
+
+    rows = meet(short.filter("not main"), across).unionByName(meet(short.filter("main"), across.filter("not main")))
+    pairs = materialise(rows.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("asked").alias("asked")).filter("common >= asked").select("a", "b"), "pairs")
     more = _verify(pairs, docs, sets, width, percent)
     every = materialise(links.unionByName(more), "links")
     roots = components(every)
 
-    named = sets.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = sets.join(roots.withColumnRenamed("key", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("m"))
     out = named.join(best, "root").select(F.col("key").alias("__key"), F.col("m.doc_id").alias("component_id"), F.col("m.key").alias("keep_key"), "weight")
     result = materialise(out, "classes")
-    for t in (met, first, pairs):
+    for t in (described, met, first, across, pairs):
         discard(t)
     return table.select("doc_id", "__key", "__n"), result
 
@@ -251,3 +360,15 @@ def dedup_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     alone = F.when(F.col("__n") == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))
     first = W.partitionBy("__key", "__alone").orderBy("doc_id")
     return found.withColumn("__alone", alone).withColumn("__r", F.row_number().over(first)).filter("__r = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+c AS (SELECT d.doc_id, count(g) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y WHERE 100 * k >= 90 * (cx.n + cy.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS top FROM c UNION SELECT e.y, r.top FROM r JOIN e ON e.x = r.doc_id)
+SELECT doc_id, any_value(n)::BIGINT AS n_shingles, min(top) AS component_id FROM c JOIN r USING (doc_id) GROUP BY doc_id
+"""

@@ -51,4 +51,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity_restored, op2_lm_scoring, op3_quality_rules, op4_ngram_jaccard_join, op5_language_id, op6_exact_dedup, op7_sharding, op8_warc_normaliser, op9_length_packing, op10_mixing)}
-SQL: dict[str, str] = {"op3_quality_rules": op3_quality.SQL, "op6_exact_dedup": op6_exact.SQL, "op8_warc_normaliser": op8_warc.SQL, "op10_mixing": op10_mix.SQL}
+SQL: dict[str, str] = {"op3_quality_rules": op3_quality.SQL, "op4_ngram_jaccard_join": op4_ngram_join.SQL, "op6_exact_dedup": op6_exact.SQL, "op8_warc_normaliser": op8_warc.SQL, "op10_mixing": op10_mix.SQL}

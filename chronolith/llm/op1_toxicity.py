@@ -37,7 +37,7 @@ from .common import id_crc, payload, slices
 
 SAMPLE = 20_000
 FEATURES = 100_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: Letters for which a character is written.
 LEET = {b"0": b"o", b"1": b"il", b"2": b"z", b"3": b"e", b"4": b"a", b"5": b"s", b"6": b"gb", b"7": b"t", b"8": b"b", b"9": b"g", b"@": b"a", b"$": b"s", b"!": b"i", b"|": b"il", b"+": b"t", b"(": b"c", b"<": b"c", b"&": b"e", b"%": b"x"}
 LEET_COST, DROP_COST, BREAK_COST, DOUBLE_COST, RUN_COST = -1.0, -1.5, -8.0, -3.0, -0.5
@@ -49,7 +49,8 @@ TABLE[97:123] = np.arange(1, 27)
 TABLE[65:91] = np.arange(1, 27)
 TABLE[128:] = 27
 SYMBOLS = 28
-_CACHE: dict[str, dict[bytes, tuple[tuple[bytes, float], ...]]] = {}
+#: For each model, tokens known to carry no odds, and the restored words and odds of the others.
+_CACHE: dict[str, tuple[set[bytes], dict[bytes, tuple[tuple[bytes, float], ...]]]] = {}
 
 
 def character_model(docs: DataFrame) -> np.ndarray:
@@ -79,9 +80,8 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
-def plain(token: bytes) -> bool:
-    """Whether the token's lattice has one path: ASCII letters or bytes beyond ASCII, no letter twice running."""
-    return all(97 <= c <= 122 or c > 127 for c in token) and all(a != b for a, b in zip(token, token[1:]))
+#: Tokens whose lattice has one path: ASCII letters and bytes beyond ASCII, none twice running.
+PLAIN = re.compile(rb"(?:([a-z\x80-\xff])(?!\1))+")
 
 
 def decode(token: bytes, lm: list) -> bytes:
@@ -127,7 +127,7 @@ def decode(token: bytes, lm: list) -> bytes:
 def restore(token: bytes, lm: list) -> list[bytes]:
     """The words for which a written token (lower case) stands."""
     token = token.rstrip(TRAILING).lstrip(LEADING)
-    if not token or plain(token):
+    if not token or PLAIN.fullmatch(token):
         return [token] if token else []
     if len(token) > 64:  # no word: its pieces between symbols, each by itself
         return [w for piece in re.split(rb"[^a-z\x80-\xff]+", token) for w in ([piece] if len(piece) > 64 else restore(piece, lm)) if w]
@@ -252,19 +252,23 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         lm: list = grams.tolist() if w is not None else []
         for key in [k for k in _CACHE if k != name]:
             del _CACHE[key]
-        known = _CACHE.setdefault(name, {})
+        clean, known = _CACHE.setdefault(name, (set(), {}))
         for b in slices(batches):
             scores, worst = [], []
             for text in b.column("text").to_pylist():
                 found: dict[bytes, float] = {}
                 if w is not None:
-                    for t in words_of(text, lm):
+                    for t in words_of(text, lm) - clean:
                         got = known.get(t)
                         if got is None:
-                            got = known[t] = tuple((x, v) for x in restore(t, lm) if (v := max((table.get(f, 0.0) for f in features(x)), default=0.0)) > 0)
-                        if got:
-                            found.update(got)
-                    if len(known) > CACHE_WORDS:
+                            got = tuple((x, v) for x in restore(t, lm) if (v := max((table.get(f, 0.0) for f in features(x)), default=0.0)) > 0)
+                            if not got:
+                                clean.add(t)
+                                continue
+                            known[t] = got
+                        found.update(got)
+                    if len(clean) + len(known) > CACHE_WORDS:
+                        clean.clear()
                         known.clear()
                     z = float(np.dot(_describe(found, text.count(b" ") + 1), w))
                     scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))

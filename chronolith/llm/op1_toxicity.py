@@ -11,8 +11,10 @@ Score: restored words and their beginnings of four to seven bytes carry shrunken
 toxic documents; a logistic regression over a document's largest odds gives the score.
 
 Fit: at most about `sample` labelled rows of each class, chosen by a hash of the id (labels of
-ids whose crc32 is 0 mod 5 are never used).  In fitting, a row's own label is taken out of the
-odds it is described by.
+ids whose crc32 is 0 mod 5 are never used).  Rows of the class that is sampled at the higher
+rate weigh less in odds and regression, so that both keep the shares they have among all labels
+and scores do not drift with the size of the input.  In fitting, a row's own label is taken out
+of the odds it is described by.
 
 Defined cases: null and empty texts get the score of a text without words; an id labelled
 twice is toxic if any label says so; a null label does not count; a null id counts as the
@@ -155,20 +157,20 @@ def _describe(found: dict[bytes, float], n_tokens: int) -> list[float]:
     return [1.0, top[0], top[1], top[2], float(min(8, sum(v > 1.0 for v in found.values()))), math.log1p(n_tokens)]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, v: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         penalty = ridge * np.r_[0.0, np.ones(len(w) - 1)]
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x * (v * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (v * (y - p)) - penalty * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict[bytes, tuple[int, int]], float, np.ndarray | None]:
-    """The character model, counts of the features kept, the share of toxic rows, and the regression."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict[bytes, tuple[float, float]], float, np.ndarray | None]:
+    """The character model, weighted counts of the features kept, the share of toxic rows, and the regression."""
     spark = docs.sparkSession
     model = character_model(docs)
     judged = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null and doc_id is not null").filter(id_crc("doc_id") % 5 != 0)
@@ -177,7 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     every = sum(sizes.values())
     if not sizes.get(0) or not sizes.get(1):
         return model, {}, sizes.get(1, 0) / max(1, every), None
-    share = F.when(F.col("toxic") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
+    rates = [min(1.0, sample / sizes[y]) for y in (0, 1)]
+    v0, v1 = (min(rates) / r for r in rates)
+    share = F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0])
     chosen = judged.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
     # At most about 2 * sample ids.
     rows = payload(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "toxic")
@@ -207,13 +211,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 
     counts = rows.mapInArrow(count, "feature binary, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     n = rows.groupBy("toxic").count().collect()
-    n = {r["toxic"] > 0: r["count"] for r in n}
+    n = {r["toxic"] > 0: r["count"] * (v1 if r["toxic"] > 0 else v0) for r in n}
     rate = n.get(True, 0) / max(1, sum(n.values()))
     if not 0 < rate < 1:
         return model, {}, rate, None
-    weight = F.log((F.col("pos") + 10 * rate) * (1 - rate) / ((F.col("neg") + 10 * (1 - rate)) * rate))
+    weight = F.log((F.col("pos") * v1 + 10 * rate) * (1 - rate) / ((F.col("neg") * v0 + 10 * (1 - rate)) * rate))
     best = counts.filter("pos >= 2").withColumn("w", weight).filter("w > 0.3").orderBy(F.desc("w"), "feature").limit(FEATURES).toPandas()
-    table = dict(zip(best["feature"].map(bytes), zip(best["pos"], best["neg"])))
+    table = dict(zip(best["feature"].map(bytes), zip(best["pos"] * v1, best["neg"] * v0)))
     told = spark.sparkContext.broadcast((model, table, rate))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
                         met[t] = restore(t, lm)
                     for w in met[t]:
                         own = [table[f] for f in features(w) if f in table]
-                        if own and (v := max(odds(p - (y > 0), q - (y <= 0), rate) for p, q in own)) > 0:
+                        if own and (v := max(odds(p - v1 * (y > 0), q - v0 * (y <= 0), rate) for p, q in own)) > 0:
                             found[w] = v
                 if len(met) > CACHE_WORDS:
                     met = {}
@@ -236,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64()))], names=["x"])
 
     x = np.array(rows.mapInArrow(describe, "x array<double>").toPandas()["x"].tolist())
-    return model, table, rate, _logistic(x[:, 1:], x[:, 0])
+    return model, table, rate, _logistic(x[:, 1:], x[:, 0], np.where(x[:, 0] > 0, v1, v0))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

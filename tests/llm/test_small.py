@@ -437,6 +437,20 @@ def test_toxicity(spark, toxic_corpus):
     assert op1_toxicity.score_documents(table(spark, rows), lab.limit(0)).filter("score <> 0").count() == 0
 
 
+def test_toxicity_scores_do_not_shift_with_the_sample(spark):
+    """A word that one in four of its documents is toxic for, where one document in ten is toxic."""
+    r = random.Random(12)
+    rows, labels = [], []
+    for i in range(2400):
+        y = i % 10 == 0
+        rows.append((i, prose(12, r) + (" morwit" if r.random() < (0.6 if y else 0.2) else ""), "en", "s"))
+        labels.append((i, 1, int(y)))
+    docs, lab = table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole, small = ([x["score"] for x in op1_toxicity.score_documents(docs, lab, n).filter("held_out").collect()] for n in (20_000, 190))
+    assert abs(np.mean(whole) - 0.1) < 0.03 and abs(np.mean(small) - np.mean(whole)) < 0.03
+    assert all(np.mean(np.array(scores) >= 0.5) < 0.05 for scores in (whole, small))
+
+
 # pipeline --------------------------------------------------------------------------------------
 
 

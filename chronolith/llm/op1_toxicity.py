@@ -29,6 +29,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ CACHE_WORDS = 500_000
 #: Letters for which a character is written.
 LEET = {b"0": b"o", b"1": b"il", b"2": b"z", b"3": b"e", b"4": b"a", b"5": b"s", b"6": b"gb", b"7": b"t", b"8": b"b", b"9": b"g", b"@": b"a", b"$": b"s", b"!": b"i", b"|": b"il", b"+": b"t", b"(": b"c", b"<": b"c", b"&": b"e", b"%": b"x"}
 LEET_COST, DROP_COST, BREAK_COST, DOUBLE_COST, RUN_COST = -1.0, -1.5, -8.0, -3.0, -0.5
+#: Bytes of a token after which the part that all paths share is set aside.
+SETTLE = 64
 SEPARATORS = frozenset(b" .-_*~'`^,:;/\\=#\"")
 LEADING, TRAILING = b".,;:?\"'()[]{}*%&#<>-_~`", b".,;:?!\"')]}*%&#|$-_~`<>+="
 SPACED = re.compile(rb"(?<!\S)[A-Za-z0-9@$!|](?:[ \t][A-Za-z0-9@$!|]){2,}(?!\S)")
@@ -94,6 +97,7 @@ def decode(token: bytes, lm: list) -> bytes:
         return token
     first, last = has.index(True), n - 1 - has[::-1].index(True)
     states: dict[tuple[int, int, int], tuple[float, bytes]] = {(0, 0, 0): (0.0, b"")}
+    settled: list[bytes] = []
     for i, c in enumerate(token):
         options: list[tuple[int, bytes, float]] = []
         if has[i]:
@@ -122,8 +126,12 @@ def decode(token: bytes, lm: list) -> bytes:
                 if old is None or s > old[0]:
                     new[key] = s, t
         states = new
+        if i % SETTLE == SETTLE - 1:  # what all paths share is settled, so tokens of any length take linear time
+            cut = len(commonprefix([t for _, t in states.values()]))
+            settled.append(next(iter(states.values()))[1][:cut])
+            states = {key: (s, t[cut:]) for key, (s, t) in states.items()}
     best = max((s + (lm[a][b][d][0] if d else 0.0), t) for (a, b, d), (s, t) in states.items())
-    return best[1].strip()
+    return (b"".join(settled) + best[1]).strip()
 
 
 def restore(token: bytes, lm: list) -> list[bytes]:
@@ -131,8 +139,6 @@ def restore(token: bytes, lm: list) -> list[bytes]:
     token = token.rstrip(TRAILING).lstrip(LEADING)
     if not token or PLAIN.fullmatch(token):
         return [token] if token else []
-    if len(token) > 64:  # no word: its pieces between symbols, each by itself
-        return [w for piece in re.split(rb"[^a-z\x80-\xff]+", token) for w in ([piece] if len(piece) > 64 else restore(piece, lm)) if w]
     return decode(token, lm).split()
 
 

@@ -426,6 +426,21 @@ def test_restoration(spark, toxic_corpus):
     assert op1_toxicity.restore(b"...", lm) == [] and op1_toxicity.restore(b"tanmerlo", lm) == [b"tanmerlo"]
 
 
+def test_restoration_of_long_tokens(spark, toxic_corpus):
+    lm = op1_toxicity.character_model(table(spark, toxic_corpus[0])).tolist()
+    spaced = " ".join("tanmerlogrubnokvistorenkadupelish" * 2)
+    assert any(b"grubnok" in w for w in op1_toxicity.restore(spaced.encode(), lm))
+    assert op1_toxicity.restore(b"gru8n0k" + b"-" + b"-".join([b"tanmerlo"] * 8 + [b"v4steel"]), lm) == [b"grubnok"] + [b"tanmerlo"] * 8 + [b"vasteel"]
+    assert op1_toxicity.restore(b"grubn" + b"o" * 3000 + b"k", lm) == [b"grubnok"]
+    long = b"gru8n0k-v4steel." * 200
+    whole, cut = op1_toxicity.decode(long, lm), op1_toxicity.SETTLE
+    op1_toxicity.SETTLE = 10**9
+    try:
+        assert op1_toxicity.decode(long, lm) == whole
+    finally:
+        op1_toxicity.SETTLE = cut
+
+
 def test_toxicity(spark, toxic_corpus):
     rows, labels = toxic_corpus
     extra = [(1000, "tan mer lo gru8n0k vi sto", "en", "s"), (1001, "ren ka v a s t e e l du", "en", "s"), (1002, "tan mer lo vi sto", "en", "s"), (1003, None, None, None), (None, "", None, None)]

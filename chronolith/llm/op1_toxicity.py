@@ -2,8 +2,10 @@
 
 Channel: a written token is a lattice.  A letter stands for itself; a letter equal to the one
 before may be a repetition and stand for nothing; digits and symbols may stand for letters, be
-separators inside a word and stand for nothing, or end a word.  Runs of three or more single
-characters, spaced out, form one lattice, the blanks being separators.  Viterbi search over
+separators inside a word and stand for nothing, or end a word.  Symbols at a token's edges are
+read twice, as punctuation and as letters, and so are tokens without letters, as they stand and
+as letters; both readings count.  Runs of three or more single characters, spaced out by blanks
+of any number and kind, form one lattice, the blanks being separators.  Viterbi search over
 states of the last three letters finds the restoration that is likeliest under the channel and
 a character 4-gram model counted over all documents.
 
@@ -48,7 +50,11 @@ LEET_COST, DROP_COST, BREAK_COST, DOUBLE_COST, RUN_COST = -1.0, -1.5, -8.0, -3.0
 SETTLE = 64
 SEPARATORS = frozenset(b" .-_*~'`^,:;/\\=#\"")
 LEADING, TRAILING = b".,;:?\"'()[]{}*%&#<>-_~`", b".,;:?!\"')]}*%&#|$-_~`<>+="
-SPACED = re.compile(rb"(?<!\S)[A-Za-z0-9@$!|](?:[ \t][A-Za-z0-9@$!|]){2,}(?!\S)")
+#: What LEET does not map: a symbol that may be a letter is stripped in one reading only.
+NO_LETTER = bytes(c for c in {*LEADING, *TRAILING} if bytes([c]) not in LEET)
+#: A letter of ASCII, a character of LEET, or a letter beyond ASCII (without the blocks of Latin-1, general and CJK punctuation and of symbols).
+SINGLE = rb"(?:[A-Za-z0-9@$!|+(<&%]|[\xc3-\xdf][\x80-\xbf]|(?:[\xe0\xe1\xe4-\xef][\x80-\xbf]|\xe2[\xb0-\xbf]|\xe3[\x81-\xbf])[\x80-\xbf]|[\xf0-\xf4][\x80-\xbf]{3})"
+SPACED = re.compile(rb"(?<!\S)" + SINGLE + rb"(?:\s+" + SINGLE + rb"){2,}(?!\S)")
 TABLE = np.zeros(256, np.int64)
 TABLE[97:123] = np.arange(1, 27)
 TABLE[65:91] = np.arange(1, 27)
@@ -89,13 +95,16 @@ def character_model(docs: DataFrame) -> np.ndarray:
 PLAIN = re.compile(rb"(?:([a-z\x80-\xff])(?!\1))+")
 
 
-def decode(token: bytes, lm: list) -> bytes:
-    """The likeliest restoration of a lower-case token: words between single blanks.  lm: nested lists of the character model."""
+def decode(token: bytes, lm: list, edges: bool = False) -> bytes:
+    """The likeliest restoration of a lower-case token: words between single blanks.  lm: nested lists of the character model.
+
+    edges: symbols at the edges, or without any letter, are read like symbols between letters.
+    """
     n = len(token)
     has = [97 <= c <= 122 or c > 127 for c in token]
-    if not any(has):
+    if not edges and not any(has):
         return token
-    first, last = has.index(True), n - 1 - has[::-1].index(True)
+    first, last = (-1, n) if edges else (has.index(True), n - 1 - has[::-1].index(True))
     states: dict[tuple[int, int, int], tuple[float, bytes]] = {(0, 0, 0): (0.0, b"")}
     settled: list[bytes] = []
     for i, c in enumerate(token):
@@ -112,7 +121,7 @@ def decode(token: bytes, lm: list) -> bytes:
             separator = c in SEPARATORS
             options.append((0, b" ", BREAK_COST if inside and not separator else 0.0))
             options += [(x - 96, bytes([x]), LEET_COST if inside else 2 * LEET_COST) for x in LEET.get(token[i : i + 1], b"")]
-            if inside and (separator or token[i - 1] == c):
+            if inside and (separator or i and token[i - 1] == c):
                 options.append((-1, b"", DROP_COST))
         new: dict[tuple[int, int, int], tuple[float, bytes]] = {}
         for (a, b, d), (score, text) in states.items():
@@ -142,6 +151,15 @@ def restore(token: bytes, lm: list) -> list[bytes]:
     return decode(token, lm).split()
 
 
+def readings(token: bytes, lm: list) -> list[bytes]:
+    """The words of restore(), where symbols at the edges are punctuation, and those with such symbols, or a token without letters, read as letters."""
+    words = restore(token, lm)
+    token = token.strip(NO_LETTER)
+    if token and (token[:1] in LEET or token[-1:] in LEET):
+        words += [w for w in decode(token, lm, True).split() if w not in words]
+    return words
+
+
 def features(word: bytes) -> list[bytes]:
     return [b"=" + word] + [word[:k] for k in range(4, 8) if len(word) >= k]
 
@@ -201,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
                 words: set[bytes] = set()
                 for t in words_of(text, lm):
                     if t not in met:
-                        met[t] = restore(t, lm)
+                        met[t] = readings(t, lm)
                     words.update(met[t])
                 seen[y > 0].update({f for w in words for f in features(w)})
             if len(met) > CACHE_WORDS:
@@ -235,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
                 found: dict[bytes, float] = {}
                 for t in words_of(text, lm):
                     if t not in met:
-                        met[t] = restore(t, lm)
+                        met[t] = readings(t, lm)
                     for w in met[t]:
                         own = [table[f] for f in features(w) if f in table]
                         if own and (v := max(odds(p - v1 * (y > 0), q - v0 * (y <= 0), rate) for p, q in own)) > 0:
@@ -271,7 +289,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
                     for t in words_of(text, lm) - clean:
                         got = known.get(t)
                         if got is None:
-                            got = tuple((x, v) for x in restore(t, lm) if (v := max((table.get(f, 0.0) for f in features(x)), default=0.0)) > 0)
+                            got = tuple((x, v) for x in readings(t, lm) if (v := max((table.get(f, 0.0) for f in features(x)), default=0.0)) > 0)
                             if not got:
                                 clean.add(t)
                                 continue

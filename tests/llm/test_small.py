@@ -441,6 +441,18 @@ def test_restoration_of_long_tokens(spark, toxic_corpus):
         op1_toxicity.SETTLE = cut
 
 
+def test_restoration_at_edges(spark):
+    text = " ".join(["kill", "shit", "cunt", "ass", "tass", "plain", "words"] * 40)
+    lm = op1_toxicity.character_model(table(spark, [(1, text, "en", "s")])).tolist()
+    for written, word in (("a$$", "ass"), ("ki||", "kill"), ("shi+", "shit"), ("(unt", "cunt"), ("455", "ass"), ("@55", "ass"), ("+@$$", "tass"), ("\"a$$\",", "ass")):
+        assert word.encode() in op1_toxicity.readings(written.encode(), lm), written
+    assert op1_toxicity.readings(b"...", lm) == [] and op1_toxicity.readings(b"plain,", lm) == [b"plain"]
+    assert b"plain" in op1_toxicity.readings(b"(plain!)", lm) and b"1990" in op1_toxicity.readings(b"1990", lm)
+    for run in ("k  i  l  l", "k\ni\nl\nl", "s h i +", "( u n t", "ж у к"):
+        assert run.encode() in op1_toxicity.words_of(f"tan {run} mer".encode(), lm), run
+    assert not op1_toxicity.SPACED.search("a – b • c".encode())
+
+
 def test_toxicity(spark, toxic_corpus):
     rows, labels = toxic_corpus
     extra = [(1000, "tan mer lo gru8n0k vi sto", "en", "s"), (1001, "ren ka v a s t e e l du", "en", "s"), (1002, "tan mer lo vi sto", "en", "s"), (1003, None, None, None), (None, "", None, None)]

@@ -7,7 +7,8 @@ punctuation  more than `max_punct` ASCII punctuation marks a word in a line of f
              more, or no sentence mark at all in a line of `long_line` words or more
 navigation   three separators (| > bullet, guillemet) or more, one for every three words at
              least; or a short line made of menu words only
-boilerplate  a line that matches a fixed pattern of notices
+boilerplate  a fixed pattern of notices in a line of fewer than `long_line` words, or in a longer
+             one if what matches is a quarter of its words at least
 
 The base rules (word count, repeated five-word windows) come on top: a document that fails
 them is rejected whatever its lines say.
@@ -59,7 +60,8 @@ def line_fails(line: bytes, words: list[bytes], rules: Rules) -> bool:
         return True
     if n <= 6 and all(w.lower() in MENU for w in words):
         return True
-    return BOILERPLATE.search(line) is not None
+    notice = sum(len(m.split()) for m in BOILERPLATE.findall(line))
+    return notice > 0 and (n < rules.long_line or 4 * notice >= n)
 
 
 def repeated(words: list[bytes]) -> int:
@@ -147,6 +149,7 @@ def clean_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 _LINE = r"""line AS (SELECT rid, n, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS list
   FROM (SELECT rid, n, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d))"""
+#: Fails a line of any length for a notice in it, so it differs where such a line has `long_line` words or more.
 SQL = (
     r"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),

@@ -82,6 +82,15 @@ def test_document_goes_when_it_loses_too_much():
     assert kept and b"rights" not in cleaned
 
 
+def test_a_notice_in_a_long_line_fails_no_more_than_itself():
+    r = op3_quality.Rules()
+    line = " ".join(f"word{i}" for i in range(250)) + " and our privacy policy, of which " + " ".join(f"more{i}" for i in range(244)) + "."
+    kept, cleaned = op3_quality.judge(line.encode(), r)[6:]
+    assert len(line.split()) == 500 and kept and cleaned == line.encode()
+    for notice in ("Copyright 2024 by us. All rights reserved.", "Privacy policy. Terms of use. Cookie policy. " * 10):
+        assert op3_quality.line_fails(notice.encode(), notice.encode().split(), r)
+
+
 def test_clean_documents_keep_columns(spark, corpus):
     docs = table(spark, corpus)
     out = op3_quality.clean_documents(docs)

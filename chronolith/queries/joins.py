@@ -26,7 +26,7 @@ def tool_caps(spark, d):
 
 @query(f"WITH {SEG}, f AS (SELECT DISTINCT d.doc_id AS video_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 60))) SELECT video_id, count(*) AS items FROM f GROUP BY video_id")
 def passage_timelines(spark, d):
-    """Timelines that quote a known passage; the passages are a small, fixed set.
+    """Timelines that quote the first 60 characters of a known passage (any part: passage_quotes); the passages are a small, fixed set.
 
     Passages go to texts through their first five words, so no text meets every passage.
     """
@@ -38,3 +38,25 @@ def passage_timelines(spark, d):
     grams = docs.select("video_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: gram(F.col("w"), i)))).alias("gram"))
     hits = grams.join(b, "gram").filter(F.contains("text", F.col("quote"))).select("video_id", "item_id").distinct()
     return hits.groupBy("video_id").agg(F.count("*").alias("items"))
+
+
+#: Words of a run by which a passage is recognised; a shorter passage is looked for whole.
+RUN = 8
+_WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+
+
+@query(f"""WITH b AS (SELECT item_id, {_WORDS} AS w, least({RUN}, len({_WORDS})) AS n FROM benchmark),
+bg AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b WHERE n > 0)),
+d AS (SELECT doc_id AS video_id, {_WORDS} AS w FROM documents),
+dg AS (SELECT DISTINCT video_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bg)))
+SELECT video_id, count(DISTINCT item_id) AS items FROM dg JOIN bg USING (n, gram) GROUP BY video_id""")
+def passage_quotes(spark, d):
+    """Timelines that quote any part of a known passage: a run of eight words from any place of it."""
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
+    grams = lambda: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " ")))).alias("gram")
+    b = S.table(spark, d, "benchmark").select("item_id", words.alias("w")).withColumn("n", F.least(F.lit(RUN), F.size("w"))).filter("n > 0")
+    # Lengths of runs: at most eight rows.
+    lengths = F.broadcast(b.select("n").distinct())
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), words.alias("w")).crossJoin(lengths).filter("size(w) >= n")
+    hits = docs.select("video_id", "n", grams()).join(b.select("item_id", "n", grams()), ["n", "gram"]).select("video_id", "item_id").distinct()
+    return hits.groupBy("video_id").agg(F.count("*").alias("items"))

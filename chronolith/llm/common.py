@@ -12,7 +12,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLANKS = b" \t\n\r\x0b\x0c"
@@ -61,7 +63,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Removes a table that materialise() wrote, once no later plan reads it."""
-    files, at = _path(df.sparkSession, df.written_to)
+    remove(df.sparkSession, df.written_to)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = _path(spark, path)
     files.delete(at, True)
 
 
@@ -83,8 +89,30 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[p
             yield b.slice(at, rows)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, size: int = 0, most: int = 64 << 20) -> int:
+    """The number of shuffle partitions, or as many as leave at most about `most` of `size` bytes in each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // most))
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """Every column of docs as one struct, so that no name of theirs meets one of an operator's."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
+def open_folder(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a shared folder and the folder in it, for the driver and for Python workers."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files, at = _path(spark, path)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
 
 
 def skew_safe_lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -94,9 +122,14 @@ def skew_safe_lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight:
     broadcast.  All others are sort-merge joined; rows already answered get join keys of
     their own there, so that neither a hot key nor a null key gathers in one task.
     `keep`, if given, drops rows of hot keys as soon as they are answered.
+
+    Names of rows and of the table differ but for the keys: callers carry a table of unknown
+    columns as one struct.
     """
-    total = table.agg(F.sum(weight)).first()[0] or 0
     values = [c for c in table.columns if c not in keys]
+    if clash := {c.lower() for c in rows.columns} & {c.lower() for c in values}:
+        raise ValueError(f"columns on both sides: {sorted(clash)}")
+    total = table.agg(F.sum(weight)).first()[0] or 0
     names = {c: f"__{c}" for c in values}
     renamed = table.select(*keys, *(F.col(c).alias(names[c]) for c in values), F.lit(True).alias("__hit"))
     hot = renamed.filter(F.col(names[weight]) * HOT_GROUPS > F.lit(total))
@@ -127,8 +160,6 @@ def grouped_prefix(df: DataFrame, group: Column, key: Column, value: Column, tie
     rows = rows.withColumn("__h", F.conv(F.substring("__key", 1, 8), 16, 10).cast("long"))
     n = max(partitions(df.sparkSession), -(-df.count() // rows_a_slice))
     rows = rows.withColumn("__slice", F.floor(F.col("__h") * n / F.lit(2**32)))
-    from pyspark.sql import Window as W
-
     sums = rows.groupBy("__g", "__slice").agg(F.sum("__v").alias("__sv"), F.count("*").alias("__sn"))
     order = W.partitionBy("__g").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select("__g", "__slice", F.coalesce(F.sum("__sv").over(order), F.lit(0)).alias("__ov"), F.coalesce(F.sum("__sn").over(order), F.lit(0)).alias("__on"))

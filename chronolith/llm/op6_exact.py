@@ -1,19 +1,26 @@
 r"""Exact dedup with Patricia tries.
 
-Texts are compared after deleting the six ASCII blanks.  A first trie inside each map task
-folds copies before anything is shuffled.  The distinct texts then go to partitions by
-(length, content hash), sorted so; each run of one length fills a compressed radix trie with
-whole byte strings, whose terminal nodes hold the best (most code points, smallest id) and
-the number of rows.  When a trie passes its byte budget, subtrees whose content hashes lie
-behind the sorted stream can get no more rows: their terminals are emitted and they are
-dropped, so Spark's external sort is the spill.
-
-Rows then look up their owner by (length, hash).  Hot groups are broadcast, the others merge
-joined (see skew_safe_lookup).
+Texts are compared after deleting the six ASCII blanks; whole byte strings decide, no digest.
+
+fold     every map task puts its texts into compressed radix tries, one for each length.  A
+         row is known from then on by the number of its terminal node, and each terminal holds
+         its best row (most code points, smallest id, first read) and the number of rows, so
+         that copies met in one task leave it as one row
+merge    terminals go to partitions by (length, leading bits of a content hash); each such
+         bucket fills a trie of its own, whose terminals take together what the tasks' terminals
+         hold: the owner, the size of the group, and the numbers of the nodes behind it
+spill    when a bucket's trie passes its byte budget, its heaviest subtree is cut off: the
+         terminals in it, and all that arrives for it later, are written out unresolved, and the
+         next round deals them by more bits of the hash.  The last round has all 64 and cuts
+         nothing: by then a bucket is one text, but for chance
+
+Rows find their owner by the number of their node.  A node has rows of one task only, so a text
+that a third of all rows hold gathers nowhere.
 
 Defined cases: null text counts as empty, and all empty texts are one group; of rows equal in
-code points and id, one row of that id stays in dedup_documents; a null id is larger than any
-other; an empty table gives no rows.
+code points and id, the one read first stays and the others go, so exactly one row of each group
+is kept; a null id is larger than any other; texts of any length are compared whole; columns of
+docs may have any name, also one that is used here; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,19 +29,29 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BLANKS, materialise, partitions, payload, skew_safe_lookup, slices
+from .common import BLANKS, discard, materialise, partitions, slices, whole_row
 
 TRIE_BYTES = 32 << 20
+#: Leading bits of the content hash that deal out terminals, by round.
+ROUNDS = (16, 32, 64)
 #: Stands for a null id while owners are compared.
 NO_ID = (1 << 63) - 1
+NODE_BYTES = 200
+TERMINAL = [("n_len", T.LongType()), ("hash", T.LongType()), ("body", T.BinaryType()), ("points", T.LongType()), ("id", T.LongType()), ("uid", T.LongType()), ("rows", T.LongType()), ("nodes", T.ArrayType(T.LongType()))]
+OWNER = [("node", T.LongType()), ("keep_id", T.LongType()), ("keep_uid", T.LongType()), ("group_size", T.LongType()), ("sha", T.BinaryType())]
+
+#: What a terminal holds: code points, id and number of its best row, the number of its rows, the nodes behind it.
+Value = tuple[int, int, int, int, list[int]]
 
 
 class Patricia:
-    """A radix trie over byte strings.  A node is [edge, children by first byte, value]."""
+    """A radix trie over byte strings.  A node is [edge, children by first byte, value]; None stands for a subtree cut off."""
 
     def __init__(self) -> None:
         self.root: list = [b"", {}, None]
@@ -54,142 +71,227 @@ class Patricia:
                 high = mid
         return low
 
-    def insert(self, key: bytes, value: tuple[int, int, int]) -> list:
-        """Puts (code points, id, rows) at key, or merges it there; gives the terminal node."""
+    def insert(self, key: bytes, value: Value) -> list | None:
+        """Puts value at key, or merges it there; gives the terminal node, or None where the key's subtree was cut off."""
         node, at = self.root, 0
         while at < len(key):
-            child = node[1].get(key[at])
-            if child is None:
+            if key[at] not in node[1]:
                 leaf = [key[at:], {}, value]
                 node[1][key[at]] = leaf
-                self.bytes += len(key) - at + 200
+                self.bytes += len(key) - at + NODE_BYTES
                 return leaf
+            child = node[1][key[at]]
+            if child is None:
+                return None
             edge = child[0]
             k = self._shared(edge, key, at)
             if k < len(edge):
                 upper = [edge[:k], {edge[k]: child}, None]
                 child[0] = edge[k:]
                 node[1][key[at]] = upper
-                self.bytes += 200
+                self.bytes += NODE_BYTES
                 child = upper
             node, at = child, at + k
         node[2] = value if node[2] is None else better(node[2], value)
         return node
 
+    @staticmethod
+    def terminals(node: list, path: bytes = b"") -> Iterator[tuple[bytes, Value]]:
+        """The keys and values in a subtree; path is what leads to its node."""
+        todo = [(node, path)]
+        while todo:
+            node, path = todo.pop()
+            path += node[0]
+            if node[2] is not None:
+                yield path, node[2]
+            todo += [(child, path) for child in node[1].values() if child is not None]
 
-def better(a: tuple[int, int, int], b: tuple[int, int, int]) -> tuple[int, int, int]:
-    x, y = (a, b) if (-a[0], a[1]) <= (-b[0], b[1]) else (b, a)
-    return x[0], x[1], x[2] + y[2]
+    @staticmethod
+    def _weight(node: list) -> int:
+        total, todo = 0, [node]
+        while todo:
+            node = todo.pop()
+            total += len(node[0]) + NODE_BYTES
+            todo += [child for child in node[1].values() if child is not None]
+        return total
+
+    def cut(self) -> list[tuple[bytes, Value]]:
+        """Cuts off the heaviest subtree at the first branching and gives its terminals; none if a single text is left."""
+        node, path = self.root, b""
+        while node[2] is None and len(node[1]) == 1:
+            (child,) = node[1].values()
+            if child is None:
+                return []
+            node, path = child, path + child[0]
+        weights = {first: self._weight(child) for first, child in node[1].items() if child is not None}
+        if not weights:
+            return []
+        first = max(weights, key=lambda x: (weights[x], x))
+        out = list(self.terminals(node[1][first], path))
+        node[1][first] = None
+        self.bytes -= weights[first]
+        return out
+
+
+def better(a: Value, b: Value) -> Value:
+    x, y = (a, b) if (-a[0], a[1], a[2]) <= (-b[0], b[1], b[2]) else (b, a)
+    x[4].extend(y[4])
+    return x[0], x[1], x[2], a[3] + b[3], x[4]
 
 
 def code_points(text: bytes) -> int:
     return len(text) if text.isascii() else len(text.decode("utf-8", "replace"))
 
 
-def keyed(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """Columns n_len, sha (of the text without blanks) and n_points beside the columns of `carry`."""
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            texts = b.column("__text").to_pylist()
-            bodies = [t.translate(None, BLANKS) for t in texts]
-            columns = b.columns[:-1] + [pa.array([len(x) for x in bodies], pa.int64()), pa.array([hashlib.sha256(x).digest() for x in bodies], pa.binary()), pa.array([code_points(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1] + ["__len", "__sha", "__points"])
 
-    from pyspark.sql import types as T
+def _batch(rows: list[tuple], fields: list[tuple[str, T.DataType]], others: list[pa.Field], others_first: bool) -> pa.RecordBatch:
+    """Rows of one half of a table, the other half null."""
+    kinds = {T.LongType(): pa.int64(), T.BinaryType(): pa.binary(), T.ArrayType(T.LongType()): pa.list_(pa.int64())}
+    cols = list(zip(*rows)) or [[]] * len(fields)
+    mine = [(name, pa.array(col, kinds[kind])) for col, (name, kind) in zip(cols, fields)]
+    rest = [(f.name, pa.nulls(len(rows), f.type)) for f in others]
+    both = rest + mine if others_first else mine + rest
+    return pa.RecordBatch.from_arrays([x for _, x in both], names=[name for name, _ in both])
 
-    frame = docs.select(*(F.col(f"`{c}`") for c in carry), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("__text"))
-    schema = T.StructType([*frame.schema.fields[:-1], T.StructField("__len", T.LongType()), T.StructField("__sha", T.BinaryType()), T.StructField("__points", T.LongType())])
-    return frame.mapInArrow(run, schema)
 
+def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields])
 
-def owners(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
-    """One row for each distinct text: __len, __sha, keep_id, keep_points, group_size."""
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fold(docs: DataFrame, carry: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
+    """Rows (row, uid, node) and, where `body` is not null, the terminals of each task's tries.
+
+    carry: docs as `row`, doc_id (long) and text (bytes).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[int, Patricia] = {}
-        ends: list[tuple[bytes, list]] = []
-        held = 0
+        held, uid = 0, TaskContext.get().partitionId() << 33
+        node = uid
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(ends), 2000):
-                part = ends[i : i + 2000]
-                bodies = [k for k, _ in part]
-                vals = [n[2] for _, n in part]
-                yield pa.RecordBatch.from_arrays([pa.array([len(k) for k in bodies], pa.int64()), pa.array([hashlib.sha256(k).digest() for k in bodies], pa.binary()), pa.array(bodies, pa.binary()), *(pa.array([v[j] for v in vals], pa.int64()) for j in range(3))], names=["n_len", "sha", "body", "points", "id", "rows"])
-
+            out: list[tuple] = []
+            size = 0
+            for trie in tries.values():
+                for body, v in trie.terminals(trie.root):
+                    out.append((len(body), _signed(xxhash.xxh64_intdigest(body)), body, v[0], v[1], v[2], v[3], v[4]))
+                    size += len(body) + 100
+                    if size > 4 << 20:
+                        yield _batch(out, TERMINAL, rows, True)
+                        out, size = [], 0
+            yield _batch(out, TERMINAL, rows, True)
+
+        rows: list[pa.Field] = []
         for b in slices(batches):
+            rows = rows or [pa.field("row", b.schema.field("row").type), pa.field("task_uid", pa.int64()), pa.field("node", pa.int64())]
+            mine, first = [], uid
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 body = text.translate(None, BLANKS)
                 trie = tries.setdefault(len(body), Patricia())
                 size = trie.bytes
-                value = (code_points(text), NO_ID if doc_id is None else doc_id, 1)
-                node = trie.insert(body, value)
-                if node[2] is value:
-                    ends.append((body, node))
+                value = (code_points(text), NO_ID if doc_id is None else doc_id, uid, 1, [node])
+                end = trie.insert(body, value)
+                if end[2] is value:
+                    node += 1
+                else:
+                    end[2][4].remove(node)  # the node was there already
+                mine.append(end[2][4][0])
                 held += trie.bytes - size
+                uid += 1
+            terminals = [pa.nulls(b.num_rows, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(range(first, uid), pa.int64()), pa.array(mine, pa.int64()), *terminals], names=["row", "task_uid", "node", *(name for name, _ in TERMINAL)])
             if held > trie_bytes:
                 yield from flush()
-                tries, ends, held = {}, [], 0
-        yield from flush()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, length, ends = Patricia(), -1, []
-
-        def emit(done: list[tuple[bytes, list]]) -> pa.RecordBatch:
-            vals = [n[2] for _, n in done]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.binary()), pa.array([ln for ln in lengths(done)], pa.int64()), *(pa.array([v[j] for v in vals], pa.int64()) for j in (1, 0, 2))], names=["__sha", "__len", "keep_id", "keep_points", "group_size"])
-
-        def lengths(done: list) -> list[int]:
-            return [n_len for _, n_len in zip(done, (of[id(n)] for _, n in done))]
-
-        of: dict[int, int] = {}
-        for b in slices(batches):
-            for n_len, sha, body, points, doc_id, rows in zip(*(b.column(c).to_pylist() for c in ("n_len", "sha", "body", "points", "id", "rows"))):
-                if n_len != length or trie.bytes > trie_bytes:
-                    # The stream is sorted: only the subtree of the current hash can still grow.
-                    if n_len != length or not ends or ends[-1][0] != sha:
-                        if len(ends) >= 2000 or trie.bytes > trie_bytes:
-                            yield emit(ends)
-                            ends, of = [], {}
-                        trie, length = Patricia(), n_len
-                value = (points, doc_id, rows)
-                node = trie.insert(body, value)
-                if node[2] is value:
-                    ends.append((sha, node))
-                    of[id(node)] = n_len
-        if ends:
-            yield emit(ends)
-
-    spark = docs.sparkSession
-    folded = payload(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(local, "n_len long, sha binary, body binary, points long, id long, rows long")
-    dealt = folded.repartition(partitions(spark), "n_len", "sha").sortWithinPartitions("n_len", "sha")
-    return materialise(dealt.mapInArrow(merge, "__sha binary, __len long, keep_id long, keep_points long, group_size long"), "owners")
-
-
-def dedup(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
+                tries, held = {}, 0
+        if tries:
+            yield from flush()
+
+    schema = _schema(("row", carry.schema["row"].dataType), ("task_uid", T.LongType()), ("node", T.LongType()), *TERMINAL)
+    return materialise(carry.mapInArrow(run, schema), "folded")
+
+
+def owners(terminals: DataFrame, trie_bytes: int = TRIE_BYTES, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
+    """node, keep_id, keep_uid, group_size, sha for every node behind the terminals."""
+    spark, out = terminals.sparkSession, None
+    names = [name for name, _ in TERMINAL]
+    for i, bits in enumerate(rounds):
+        last = i == len(rounds) - 1
+
+        def run(batches: Iterator[pa.RecordBatch], last=last) -> Iterator[pa.RecordBatch]:
+            trie, bucket, size = Patricia(), None, 0
+            done: list[tuple] = []
+            left: list[tuple] = []
+            owner_fields, terminal_fields = ([pa.field(n, {T.LongType(): pa.int64(), T.BinaryType(): pa.binary(), T.ArrayType(T.LongType()): pa.list_(pa.int64())}[k]) for n, k in f] for f in (OWNER, TERMINAL))
+
+            def settle() -> None:
+                nonlocal size
+                for body, v in trie.terminals(trie.root):
+                    sha = hashlib.sha256(body).digest()
+                    done.extend((n, v[1], v[2], v[3], sha) for n in v[4])
+                    size += 100 * len(v[4])
+
+            def written() -> Iterator[pa.RecordBatch]:
+                yield _batch(done, OWNER, terminal_fields, False)
+                yield _batch(left, TERMINAL, owner_fields, True)
+
+            for b in slices(batches):
+                for n_len, h, body, points, doc_id, uid, n_rows, nodes, part in zip(*(b.column(c).to_pylist() for c in (*names, "part"))):
+                    if (n_len, part) != bucket:
+                        settle()
+                        trie, bucket = Patricia(), (n_len, part)
+                    if trie.insert(body, (points, doc_id, uid, n_rows, nodes)) is None:
+                        left.append((n_len, h, body, points, doc_id, uid, n_rows, nodes))
+                        size += n_len + 100
+                    while not last and trie.bytes > trie_bytes and (cut := trie.cut()):
+                        left.extend((n_len, _signed(xxhash.xxh64_intdigest(k)), k, *v) for k, v in cut)
+                        size += sum(n_len + 100 for _ in cut)
+                    if size > 4 << 20:
+                        yield from written()
+                        done, left, size = [], [], 0
+            settle()
+            yield from written()
+
+        part = F.shiftrightunsigned("hash", 64 - bits) if bits else F.lit(0).cast("long")
+        size = terminals.agg(F.sum("n_len")).first()[0] or 0
+        dealt = terminals.select(*names, part.alias("part")).repartition(partitions(spark, size), "n_len", "part").sortWithinPartitions("n_len", "part")
+        both = materialise(dealt.mapInArrow(run, _schema(*OWNER, *TERMINAL)), "owners")
+        found = both.filter("node is not null").select(*(name for name, _ in OWNER))
+        out = found if out is None else out.unionByName(found)
+        terminals = both.filter("n_len is not null").select(*names)
+        if last or terminals.isEmpty():
+            return out
+    raise AssertionError
+
+
+def _owned(docs: DataFrame, row, trie_bytes: int, rounds: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs as (row, task_uid, node), and the owners by node."""
+    carry = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    table = fold(docs, carry, trie_bytes)
+    found = owners(table.filter("n_len is not null").select(*(name for name, _ in TERMINAL)), trie_bytes, rounds)
+    return table.filter("task_uid is not null").select("row", "task_uid", "node"), found
+
+
+def dedup(docs: DataFrame, trie_bytes: int = TRIE_BYTES, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
-    rows = keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"]).drop("__points")
-    found = skew_safe_lookup(rows, owners(docs, trie_bytes).drop("keep_points"), ["__len", "__sha"], "group_size")
+    rows, found = _owned(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("row"), trie_bytes, rounds)
+    met = rows.join(found, "node")
     keep = F.when(F.col("keep_id") != NO_ID, F.col("keep_id"))
-    return found.select("doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("__sha")).alias("text_sha256"))
+    return met.select("row.doc_id", keep.alias("keep_id"), "group_size", (F.col("task_uid") == F.col("keep_uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def dedup_documents(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
+def dedup_documents(docs: DataFrame, trie_bytes: int = TRIE_BYTES, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
     """The rows of docs that stay, one for each distinct text, with its columns."""
-
-    def own(df: DataFrame) -> DataFrame:
-        return df.filter((F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("keep_id")) & (F.col("__points") == F.col("keep_points")))
-
-    rows = keyed(docs, docs.columns)
-    found = skew_safe_lookup(rows, owners(docs, trie_bytes), ["__len", "__sha"], "group_size", keep=own)
-    first = W.partitionBy("__len", "__sha").orderBy("doc_id")
-    return found.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, found = _owned(docs, whole_row(docs), trie_bytes, rounds)
+    gone = rows.select("task_uid", "node").join(found.select("node", "keep_uid"), "node").filter("task_uid <> keep_uid").select("task_uid")
+    return rows.join(gone, "task_uid", "left_anti").select("row.*")
 
 
 SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
-  doc_id = first_value(doc_id) OVER w AS kept, h AS text_sha256
+  row_number() OVER w = 1 AS kept, h AS text_sha256
 FROM d WINDOW w AS (PARTITION BY h ORDER BY points DESC, doc_id)
 """

@@ -2,42 +2,48 @@
 
 append    arriving rows become small immutable shards: a task starts a new shard whenever the
           one it fills reaches `small` bytes of text.  No shuffle.
-plan      shards of one size tier (powers of `fanin`) are taken in order of name, in runs cut
-          where their running size crosses a multiple of `target`; a run of two shards or more
-          is merged, all others stay.  Running sizes are sums over slices, in the engine.
-compact   runs are rewritten as target-sized shards.
-commit    a new manifest version is written aside and renamed into place; the rename fails if
-          that version exists, so of two writers one has to start over from the new version.
-
-Readers take the newest manifest, and the files of older versions stay until vacuum().
-
-Layout of a store: data/<version>/shard=<name>/*.parquet and manifest/<version>.json.
-
-Defined cases: rows of any content are kept as they are, nulls, repeated rows and extra
-columns included (a column named `shard` is kept apart under another name); a row larger than
-a shard has one of its own; an empty arrival leaves a version without new shards.
+plan      shards of one size tier (powers of `fanin` over `small`) are put in runs where their
+          running size crosses a multiple of `target`; a run of `fanin` shards or more, or of two
+          or more that fill half a target, is merged, all others wait for more of their size.
+          Running sizes are sums over slices, in the engine.
+compact   runs are rewritten as shards of at most about `target`; what a merge makes is of a higher
+          tier, where it may be merged with its like, so passes go on until no tier has a run.
+commit    a new manifest version appears under its name at once or not at all, and not if that
+          version exists, so of two writers one has to start over from the new version.
+
+A manifest is a small file that names tables: live shards with their folder, size and rows, and
+retired ones.  Readers take the newest, and files of older versions stay until vacuum().
+
+Layout of a store: data/<folder>/shard=<name>/*.parquet, tables/<folder>, manifest/<version>.json.
+A shard's rows are (row, bytes): all columns of a row as one struct.
+
+Defined cases: rows of any content are kept as they are, nulls, repeated rows and extra columns of
+any name included; a text longer than a shard has one of its own; ties in size are ordered by the
+MD5 of the shard's name; an empty arrival leaves a version without new shards.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, shared_dir
+from .common import grouped_prefix, new_folder, whole_row
 
 SMALL = 1 << 20
 TARGET = 16 << 20
 FANIN = 4
-ASIDE = "__own_shard"
+ARRIVALS = 2
+SHARDS = "shard string, folder string, bytes long, rows long"
+DELETERS = 16
 
 
 class Store:
@@ -62,128 +68,156 @@ class Store:
         return max([0, *(int(s.getPath().getName()[:8]) for s in self._files().listStatus(at) if s.getPath().getName().endswith(".json"))])
 
     def manifest(self, version: int | None = None) -> dict:
-        """{"version", "tables": folders of data whose shards are live, each with the folder of its retired shards or null}."""
+        """version; folders: the schema of the rows in each; live and retired: tables of shards."""
         version = self.version() if version is None else version
         if not version:
-            return {"version": 0, "tables": []}
+            return {"version": 0, "folders": {}, "live": [], "retired": []}
         return json.loads(self.spark.read.text(f"{self.path}/manifest/{version:08d}.json", wholetext=True).first()[0])
 
-    def commit(self, tables: list[dict], after: int) -> int:
+    def commit(self, manifest: dict, after: int) -> int:
         """Makes version after + 1, if nobody has."""
         files, new = self._files(), after + 1
         aside, to = self._path("manifest", f".{uuid.uuid4().hex}"), self._path("manifest", f"{new:08d}.json")
         out = files.create(aside, False)
-        out.write(bytearray(json.dumps({"version": new, "tables": tables}).encode()))
+        out.write(bytearray(json.dumps(manifest | {"version": new}).encode()))
         out.close()
-        if files.exists(to) or not files.rename(aside, to):
+        if files.getUri().getScheme() == "file":  # a rename would replace; a second link to a name fails
+            try:
+                os.link(aside.toUri().getPath(), to.toUri().getPath())
+                done = True
+            except FileExistsError:
+                done = False
             files.delete(aside, False)
+        else:  # where a rename onto a file that exists fails, as on HDFS
+            done = files.rename(aside, to)
+            if not done:
+                files.delete(aside, False)
+        if not done:
             raise RuntimeError(f"version {new} was committed by another writer")
         return new
 
-    def shards(self, version: int | None = None) -> DataFrame | None:
-        """The live rows with their shard's name in `shard`."""
-        out = None
-        for t in self.manifest(version)["tables"]:
-            rows = self.spark.read.option("basePath", t["data"]).schema(T.StructType.fromJson(t["schema"])).parquet(t["data"])
-            if t["retired"]:
-                gone = self.spark.read.parquet(t["retired"])
-                rows = rows.join(gone, "shard", "left_anti")
+    def _table(self, name: str, rows: DataFrame) -> str:
+        at = f"{self.path}/tables/{name}-{uuid.uuid4().hex[:8]}"
+        rows.write.parquet(at)
+        return at
+
+    def _tables(self, paths: list[str], schema: str = SHARDS) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def shards(self, version: int | None = None) -> DataFrame:
+        """The live shards: shard, folder, bytes, rows."""
+        return self._tables(self.manifest(version)["live"])
+
+    def rows(self, version: int | None = None) -> DataFrame | None:
+        """The live rows: row, bytes, shard."""
+        own = self.manifest(version)
+        live, out = self._tables(own["live"]).select("shard"), None
+        for folder, kind in own["folders"].items():
+            schema = T.StructType([T.StructField("row", T.StructType.fromJson(kind)), T.StructField("bytes", T.LongType()), T.StructField("shard", T.StringType())])
+            rows = self.spark.read.option("basePath", folder).schema(schema).parquet(folder).join(live, "shard", "left_semi").select("row", "bytes", "shard")
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
         return out
 
     def read(self, version: int | None = None) -> DataFrame | None:
-        rows = self.shards(version)
-        return None if rows is None else rows.drop("shard", "__bytes").withColumnsRenamed({ASIDE: "shard"})
+        rows = self.rows(version)
+        return None if rows is None else rows.select("row.*")
 
-    def append(self, rows: DataFrame, small: int = SMALL, text: str = "text") -> int:
+    def _write(self, rows: DataFrame, folder: str) -> str:
+        """Writes (row, bytes, shard) and gives the table of what shards there are now."""
+        rows.write.option("compression", "zstd").partitionBy("shard").parquet(folder)
+        schema = T.StructType([T.StructField("bytes", T.LongType()), T.StructField("shard", T.StringType())])
+        written = self.spark.read.option("basePath", folder).schema(schema).parquet(folder)
+        return self._table("live", written.groupBy("shard").agg(F.lit(folder).alias("folder"), F.sum("bytes").alias("bytes"), F.count("*").alias("rows")))
+
+    def _folder(self, version: int) -> str:
+        return f"{self.path}/data/{version:08d}-{uuid.uuid4().hex[:8]}"
+
+    def append(self, docs: DataFrame, small: int = SMALL, text: str = "text") -> int:
         """Adds rows as small shards and commits."""
         old = self.manifest()
-        folder = f"{self.path}/data/{old['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
-        rows = rows.withColumnsRenamed({"shard": ASIDE})
-        tag = f"a{old['version'] + 1:08d}"
+        folder, tag = self._folder(old["version"] + 1), f"a{old['version'] + 1:08d}"
+        rows = docs.select(whole_row(docs), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("bytes"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             task, filled, number = TaskContext.get().partitionId(), 0, 0
             for b in batches:
-                sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()
                 names = []
-                for s in sizes:
+                for s in b.column("bytes").to_pylist():
                     if filled and filled + s > small:
                         filled, number = 0, number + 1
                     filled += s
                     names.append(f"{tag}-{task:06d}-{number:06d}")
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int64()), pa.array(names, pa.string())], names=[*b.schema.names, "__bytes", "shard"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string())], names=["row", "bytes", "shard"])
 
-        schema = T.StructType([*rows.schema.fields, T.StructField("__bytes", T.LongType()), T.StructField("shard", T.StringType())])
-        rows.mapInArrow(run, schema).write.option("compression", "zstd").partitionBy("shard").parquet(folder)
-        return self.commit([*old["tables"], {"data": folder, "retired": None, "schema": json.loads(schema.json())}], old["version"])
+        schema = T.StructType([*rows.schema.fields, T.StructField("shard", T.StringType())])
+        live = self._write(rows.mapInArrow(run, schema), folder)
+        kind = json.loads(rows.schema["row"].dataType.json())
+        return self.commit(old | {"folders": old["folders"] | {folder: kind}, "live": [*old["live"], live]}, old["version"])
 
     def compact(self, target: int = TARGET, fanin: int = FANIN, small: int = SMALL) -> int:
-        """Merges runs of similarly sized shards once, and commits."""
-        old = self.manifest()
-        live = self.shards()
-        if live is None:
-            return old["version"]
-        folder = f"{self.path}/data/{old['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
-        sizes = live.groupBy("shard").agg(F.sum("__bytes").alias("bytes"), F.count("*").alias("rows"))
-        merges = plan(sizes, target, fanin, small, f"c{old['version'] + 1:08d}")
-        merges.select("shard", "into").write.parquet(f"{folder}-plan")
-        merges = self.spark.read.parquet(f"{folder}-plan")
-        moved = live.join(merges, "shard").drop("shard").withColumnRenamed("into", "shard")
-        # A target-sized shard fits one task, which writes it as one file.
-        moved.repartition(partitions(self.spark), "shard").write.option("compression", "zstd").partitionBy("shard").parquet(folder)
-        merges.select("shard").write.parquet(f"{folder}-retired")
-        schema = T.StructType([f for f in live.schema.fields if f.name != "shard"] + [T.StructField("shard", T.StringType())])
-        tables = [t | {"retired": self._join_retired(t, f"{folder}-retired")} for t in old["tables"]]
-        return self.commit([*tables, {"data": folder, "retired": None, "schema": json.loads(schema.json())}], old["version"])
-
-    def _join_retired(self, table: dict, new: str) -> str:
-        """The folder of all retired shards of a table: the new ones, or these and the older ones together."""
-        if not table["retired"]:
-            return new
-        at = f"{new}-{uuid.uuid4().hex[:8]}"
-        self.spark.read.parquet(table["retired"]).union(self.spark.read.parquet(new)).distinct().write.parquet(at)
-        return at
+        """Merges runs of similarly sized shards, and what comes of it, until no tier has a run; a commit a pass."""
+        while True:
+            old = self.manifest()
+            tag = f"c{old['version'] + 1:08d}"
+            merges = self._table("merges", plan(self._tables(old["live"]), target, fanin, small, tag))
+            merges = self._tables([merges], "shard string, into string, folder string, bytes long, rows long")
+            size = merges.agg(F.sum("bytes")).first()[0]
+            if size is None:
+                return old["version"]
+            folder = self._folder(old["version"] + 1)
+            moved = self.rows().join(merges.select("shard", "into"), "shard").select("row", "bytes", F.col("into").alias("shard"))
+            # A task has about one new shard, whatever the size of the store, and writes it as one file.
+            live = self._write(moved.repartition(max(1, -(-size // target)), "shard"), folder)
+            stay = self._table("live", self._tables(old["live"]).join(merges, "shard", "left_anti"))
+            gone = self._table("retired", merges.select("shard", "folder", "bytes", "rows"))
+            kind = json.loads(moved.schema["row"].dataType.json())
+            self.commit({"folders": old["folders"] | {folder: kind}, "live": [stay, live], "retired": [*old["retired"], gone]}, old["version"])
 
     def vacuum(self) -> int:
-        """Deletes the folders of retired shards and the manifests before the newest; gives the number of folders."""
-        files, newest, n = self._files(), self.version(), 0
-        for t in self.manifest()["tables"]:
-            if t["retired"]:
-                for r in self.spark.read.parquet(t["retired"]).select("shard").toLocalIterator():
-                    n += bool(files.delete(self.fs.Path(f"{t['data']}/shard={r['shard']}"), True))
+        """Deletes what the newest version does not use: retired shards, a whole folder at once where none in it is live; gives their number."""
+        files, own = self._files(), self.manifest()
+        if not own["version"]:
+            return 0
+        # The newest folder stays, as the columns are known from it, even with no shard live.
+        used = {r["folder"] for r in self._tables(own["live"]).select("folder").distinct().collect()} | set([*own["folders"]][-1:])
+        dead = [f for f in own["folders"] if f not in used]
+        gone = self._tables(own["retired"])
+        single = gone.filter(~F.col("folder").isin(dead)) if dead else gone
+        n = gone.count()
+        with ThreadPoolExecutor(DELETERS) as pool:
+            drop = lambda at: files.delete(self.fs.Path(at), True)
+            list(pool.map(drop, dead))
+            list(pool.map(drop, (f"{r['folder']}/shard={r['shard']}" for r in single.toLocalIterator())))
+        newest = self.commit(own | {"folders": {f: k for f, k in own["folders"].items() if f in used}, "retired": []}, own["version"])
         for s in files.listStatus(self._path("manifest")):
             if s.getPath().getName() < f"{newest:08d}":
                 files.delete(s.getPath(), False)
         return n
 
 
-def plan(sizes: DataFrame, target: int, fanin: int, small: int, tag: str) -> DataFrame:
-    """shard, bytes, rows -> shard, into: for shards to be merged, the name of the new shard.
+def plan(shards: DataFrame, target: int, fanin: int, small: int, tag: str) -> DataFrame:
+    """shard, into, folder, bytes, rows: for shards to be merged, the name of the new shard.
 
-    Metadata of shards only.  The running size of a tier is a sum over slices of 4096 shard
-    names by hash-free range: (task prefix of the name), so no task sorts a whole tier unless
-    it is one task's arrivals.
+    Metadata of shards only; no task sorts a tier.
     """
-    tier = F.floor(F.log(F.greatest(F.col("bytes"), F.lit(small)) / F.lit(float(small))) / F.log(F.lit(float(fanin))))
-    rows = sizes.filter(F.col("bytes") < target).withColumn("tier", tier).withColumn("lot", F.substring("shard", 1, 13))
-    lots = rows.groupBy("tier", "lot").agg(F.sum("bytes").alias("lot_bytes"))
-    before = W.partitionBy("tier").orderBy("lot").rowsBetween(W.unboundedPreceding, -1)
-    offsets = lots.select("tier", "lot", F.coalesce(F.sum("lot_bytes").over(before), F.lit(0)).alias("offset"))
-    inner = W.partitionBy("tier", "lot").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("own", F.coalesce(F.sum("bytes").over(inner), F.lit(0))).join(offsets, ["tier", "lot"])
-    placed = placed.withColumn("run", F.floor((F.col("own") + F.col("offset")) / F.lit(target)))
-    counts = placed.groupBy("tier", "run").agg(F.count("*").alias("members")).filter("members > 1")
-    return placed.join(counts, ["tier", "run"]).select("shard", F.format_string(f"{tag}-%02d-%08d", F.col("tier"), F.col("run")).alias("into"), "bytes", "rows")
-
-
-def shard_documents(docs: DataFrame, path: str | None = None, small: int = SMALL, target: int = TARGET, fanin: int = FANIN) -> DataFrame:
-    """Appends docs to a new store, compacts it, and reads it back: doc_id, shard, version, shard_rows, shard_bytes for every row."""
+    tier = F.floor(F.log(F.greatest(F.col("bytes"), F.lit(small)) / F.lit(float(small))) / F.log(F.lit(float(fanin))) + 1e-9)
+    rows = shards.filter(F.col("bytes") < target).withColumn("tier", tier)
+    placed = grouped_prefix(rows, F.col("tier"), F.md5("shard"), F.col("bytes"), [F.col("shard")])
+    placed = placed.withColumn("run", F.floor(F.col("before") / target))
+    runs = placed.groupBy("tier", "run").agg(F.count("*").alias("members"), F.sum("bytes").alias("run_bytes"))
+    runs = runs.filter((F.col("members") >= fanin) | ((F.col("members") > 1) & (F.col("run_bytes") * 2 >= target)))
+    return placed.join(runs.select("tier", "run"), ["tier", "run"]).select("shard", F.format_string(f"{tag}-%02d-%08d", F.col("tier"), F.col("run")).alias("into"), "folder", "bytes", "rows")
+
+
+def shard_documents(docs: DataFrame, path: str | None = None, small: int = SMALL, target: int = TARGET, fanin: int = FANIN, arrivals: int = ARRIVALS) -> DataFrame:
+    """Appends docs to a new store in `arrivals` parts, compacts after each, and reads it back: doc_id, shard, version, shard_rows, shard_bytes for every row."""
     spark = docs.sparkSession
-    store = Store(spark, path or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    store.append(docs, small)
-    version = store.compact(target, fanin, small)
+    store = Store(spark, path or new_folder(spark, "shards"))
+    part = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(arrivals))
+    for k in range(arrivals):
+        store.append(docs.filter(part == k), small)
+        store.compact(target, fanin, small)
     store.vacuum()
-    rows = store.shards().select(F.col("doc_id").cast("long").alias("doc_id"), "shard", "__bytes")
-    sizes = rows.groupBy("shard").agg(F.count("*").alias("shard_rows"), F.sum("__bytes").alias("shard_bytes"))
-    return rows.join(sizes, "shard").select("doc_id", "shard", F.lit(version).cast("long").alias("version"), "shard_rows", "shard_bytes")
+    sizes = store.shards().select("shard", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
+    rows = store.rows().select(F.col("row.doc_id").cast("long").alias("doc_id"), "shard")
+    return rows.join(sizes, "shard").select("doc_id", "shard", F.lit(store.version()).cast("long").alias("version"), "shard_rows", "shard_bytes")

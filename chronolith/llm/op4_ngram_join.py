@@ -21,9 +21,16 @@ Only components are asked for, so links inside a known component need no verific
    common, if it has as many as it asks for, and all of these are verified.
 Any link joins sets that are in one part after 2, or are a candidate in 3, so none is lost.
 
+Where a token, a hub or a set is behind many rows, these are dealt over salts, and what they meet
+goes to every salt once; each pair still meets in exactly one place.  Sizes of what is sent to all
+tasks: the sketch, 2 ** SKETCH_BITS bytes; the filter of ids, at most 2 ** FILTER_BITS bits.
+
 Defined cases: null and blank texts have an empty set and are linked with nothing; texts of
 fewer words than a shingle are one shingle; a component of null ids only has a null id;
-repeated rows are in one component; an empty table gives no rows.
+repeated rows are in one component, and dedup_documents keeps one of them; texts of any length
+give all their shingles; of sets that could be a hub or give a component its id alike, the order
+of numbers and ids decides; other columns are not read, and those that dedup_documents hands on
+may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,20 +41,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialise, partitions, payload, skew_safe_lookup, slices
+from .common import discard, materialise, partitions, payload, skew_safe_lookup, slices, whole_row
 from .components import components
 
 SKETCH_BITS = 24
 CHUNKS = 64
+#: The sketches of so many tasks are added by one task, and of these again, in LEVELS steps.
+TREE_BITS, LEVELS = 6, 3
 MOST_MATCHES = 8
 VERIFY_WEIGHT = 20.0
 WORD_HASHES = 300_000
-FILTER_BITS = 26
+#: The filter of ids has 16 bits an id, as long as that is within so many bits (8 an id for 10 ** 8 of them); with more ids it lets more sets through, and loses none.
+FILTER_BITS = 30
+FILTER_CHUNK_BITS = 20
+#: Rows of one token, or pairs of one hub, for each salt.
+SALT_ROWS = 500
 #: Of each prefix so many tokens go along with candidates at most; pairs that need more are counted after the join.
 HEAD = 64
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -93,9 +107,17 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """log2 of the number of sets with a token in each bucket, in eighths: one byte a bucket."""
+    """log2 of the number of sets with a token in each bucket, in eighths: one byte a bucket.
+
+    Every task counts into a sketch of its own; these are added chunk by chunk in a tree, so no
+    task adds more than 2 ** TREE_BITS of them.
+    """
     buckets = 1 << SKETCH_BITS
     own = buckets // CHUNKS
+    schema = "task long, chunk int, data binary"
+
+    def rows(task: int, chunks: list[int], parts: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([task] * len(chunks), pa.int64()), pa.array(chunks, pa.int32()), pa.array(parts, pa.binary())], names=["task", "chunk", "data"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, hashes = np.zeros(buckets, np.uint32), _Hashes()
@@ -107,20 +129,34 @@ def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
                 at, n = np.unique(np.concatenate(held), return_counts=True)
                 total[at.astype(np.int64)] += n.astype(np.uint32)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([zlib.compress(np.minimum(total[i * own : (i + 1) * own], 65535).astype(np.uint16).tobytes(), 1) for i in range(CHUNKS)], pa.binary())], names=["chunk", "data"])
+            yield rows(TaskContext.get().partitionId(), list(range(CHUNKS)), [zlib.compress(total[i * own : (i + 1) * own].astype(np.uint64).tobytes(), 1) for i in range(CHUNKS)])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        at, total = None, None
         for b in batches:
-            for chunk, data in zip(b.column("chunk").to_pylist(), b.column("data").to_pylist()):
-                part = np.frombuffer(zlib.decompress(data), np.uint16)
-                total[chunk] = total[chunk] + part if chunk in total else part.astype(np.uint64)
-        packed = [zlib.compress(np.minimum(255, np.round(8 * np.log2(1.0 + v))).astype(np.uint8).tobytes(), 1) for v in total.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "data"])
-
-    parts = payload(docs).mapInArrow(count, "chunk int, data binary").repartition(min(CHUNKS, partitions(docs.sparkSession)), "chunk")
+            for task, chunk, data in zip(*(b.column(c).to_pylist() for c in ("task", "chunk", "data"))):
+                part = np.frombuffer(zlib.decompress(data), np.uint64)
+                if at == (task, chunk):
+                    total += part
+                    continue
+                if at:
+                    yield rows(at[0], [at[1]], [zlib.compress(total.tobytes(), 1)])
+                at, total = (task, chunk), part.copy()
+        if at:
+            yield rows(at[0], [at[1]], [zlib.compress(total.tobytes(), 1)])
+
+    parts = payload(docs).mapInArrow(count, schema)
+    for level in range(LEVELS):
+        task = F.shiftright("task", TREE_BITS) if level < LEVELS - 1 else F.lit(0).cast("long")
+        parts = parts.withColumn("task", task).repartition(partitions(docs.sparkSession), "task", "chunk").sortWithinPartitions("task", "chunk").mapInArrow(add, schema)
     out = np.zeros(buckets, np.uint8)
-    for r in parts.mapInArrow(add, "chunk int, data binary").collect():
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [np.frombuffer(zlib.decompress(x), np.uint64) for x in b.column("data").to_pylist()]
+            yield rows(0, b.column("chunk").to_pylist(), [zlib.compress(np.minimum(255, np.round(8 * np.log2(1.0 + v))).astype(np.uint8).tobytes(), 1) for v in got])
+
+    for r in parts.mapInArrow(levels, schema).collect():
         out[r["chunk"] * own : (r["chunk"] + 1) * own] = np.frombuffer(zlib.decompress(bytes(r["data"])), np.uint8)
     return out
 
@@ -146,79 +182,103 @@ def prefix(s: np.ndarray, sketch: np.ndarray, percent: int, floor: float = 0.0)
     return best, float(lists[best - 1]), s[order[: n - least + best]]
 
 
-def _keyed(docs: DataFrame, width: int, carry: list[str]) -> DataFrame:
-    """Columns __key and __n (of the shingle set) beside those of carry."""
-    frame = docs.select(*(F.col(f"`{c}`") for c in carry), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("__text"))
+def _keyed(docs: DataFrame, width: int) -> DataFrame:
+    """Columns row (all of docs), id, key and n (of the shingle set)."""
+    frame = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in slices(batches):
-            sets = [shingles(t, width, hashes) for t in b.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=b.schema.names[:-1] + ["__key", "__n"])
+            sets = [shingles(t, width, hashes) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["row", "id", "key", "n"])
 
-    return frame.mapInArrow(run, T.StructType([*frame.schema.fields[:-1], T.StructField("__key", T.BinaryType()), T.StructField("__n", T.LongType())]))
+    return frame.mapInArrow(run, T.StructType([*frame.schema.fields[:2], T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType())]))
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of a fixed size over the column doc_id; made in the executors, chunk by chunk."""
-    size = 1 << (FILTER_BITS - 3)
-    own = size // CHUNKS
+def _id_filter(ids: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """A Bloom filter over n ids (the column doc_id): its number of bits as a power of two, and the bits.
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, np.uint8)
-        for b in batches:
-            for at in _places(b.column("doc_id")):
-                np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        for i in np.nonzero(bits.reshape(CHUNKS, own).any(1))[0].tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(bits[i * own : (i + 1) * own].tobytes(), 1)], pa.binary())], names=["chunk", "data"])
+    Places go to the task of their chunk, so what a task makes is as large as its chunks.
+    """
+    bits = min(FILTER_BITS, max(FILTER_CHUNK_BITS, (16 * n).bit_length()))
+    own = 1 << (FILTER_CHUNK_BITS - 3)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, data in zip(b.column("chunk").to_pylist(), b.column("data").to_pylist()):
-                bits = np.frombuffer(zlib.decompress(data), np.uint8)
-                total[chunk] = total[chunk] | bits if chunk in total else bits
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["chunk", "data"])
+            at = np.unique(np.concatenate(_places(b.column("doc_id"), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> FILTER_CHUNK_BITS, pa.int32()), pa.array(at & ((1 << FILTER_CHUNK_BITS) - 1), pa.int32())], names=["chunk", "place"])
 
-    found = np.zeros(size, np.uint8)
-    for r in ids.mapInArrow(part, "chunk int, data binary").repartition(CHUNKS, "chunk").mapInArrow(merge, "chunk int, data binary").collect():
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[int, np.ndarray] = {}
+        for b in batches:
+            chunk, at = (b.column(c).to_numpy(zero_copy_only=False) for c in ("chunk", "place"))
+            for i in np.unique(chunk).tolist():
+                mine = at[chunk == i]
+                np.bitwise_or.at(chunks.setdefault(i, np.zeros(own, np.uint8)), mine >> 3, np.left_shift(1, mine & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in chunks.values()], pa.binary())], names=["chunk", "data"])
+
+    found = np.zeros(1 << (bits - 3), np.uint8)
+    dealt = ids.mapInArrow(places, "chunk int, place int").repartition(1 << min(8, bits - FILTER_CHUNK_BITS), "chunk")
+    for r in dealt.mapInArrow(build, "chunk int, data binary").collect():
         found[r["chunk"] * own : (r["chunk"] + 1) * own] = np.frombuffer(zlib.decompress(bytes(r["data"])), np.uint8)
-    return found
+    return bits, found
 
 
-def _places(ids: pa.Array) -> list[np.ndarray]:
-    """The two bits of each id; a null id has those of -1."""
+def _places(ids: pa.Array, bits: int) -> list[np.ndarray]:
+    """The two places of each id; a null id has those of -1."""
     x = ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     out = []
     for factor in FACTORS[:2]:
         y = (x + np.uint64(1)) * factor
         y ^= y >> np.uint64(29)
-        out.append((y * FACTORS[3] >> np.uint64(64 - FILTER_BITS)).astype(np.int64))
+        out.append((y * FACTORS[3] >> np.uint64(64 - bits)).astype(np.int64))
     return out
 
 
+def _salts(rows: Column) -> Column:
+    return F.ceil(rows / SALT_ROWS).cast("int")
+
+
+def _own_salt(by: Column, salts: Column) -> Column:
+    return F.pmod(F.xxhash64(by), salts).cast("int")
+
+
+def _every_salt(salts: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), salts - 1))
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of sets whose similarity reaches the threshold.
 
     Texts are not shuffled: the ids of the sets wanted pass a Bloom filter to the scan, which
-    hands on the sets of the documents that it lets through.
+    hands on the sets of the documents that it lets through.  A set's tokens go once to its key,
+    and from there, as a, to b.  Hubs are b, so the pairs of one b are dealt over salts.
     """
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    wanted = sets.join(wanted, "sid", "left_semi").select("sid", "key", "doc_id")
-    sent = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted.select("doc_id")))
+
+    def end(side: str) -> DataFrame:
+        n = pairs.groupBy(side).agg(F.count("*").alias(f"{side}_n"))
+        return materialise(n.join(sets.select(F.col("sid").alias(side), F.col("key").alias(f"{side}_key"), F.col("doc_id").alias(f"{side}_id")), side), "ends")
+
+    ends = {side: end(side) for side in "ab"}
+    named = pairs.select("a", "b")
+    for side in "ab":
+        named = skew_safe_lookup(named, ends[side].drop(f"{side}_id"), [side], f"{side}_n")
+    named = named.withColumn("salt", _own_salt(F.col("a"), _salts(F.col("b_n"))))
+    ids = ends["a"].select(F.col("a_id").alias("doc_id")).union(ends["b"].select("b_id"))
+    sent = docs.sparkSession.sparkContext.broadcast(_id_filter(ids, ends["a"].count() + ends["b"].count()))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = _Hashes(), sent.value
+        hashes, (bits, found) = _Hashes(), sent.value
         for b in slices(batches):
             let = np.ones(b.num_rows, bool)
-            for at in _places(b.column("doc_id")):
-                let &= (bits[at >> 3] >> (at & 7)) & 1 == 1
+            for at in _places(b.column("doc_id"), bits):
+                let &= (found[at >> 3] >> (at & 7)) & 1 == 1
             own = [shingles(t, width, hashes) for t in b.filter(pa.array(let)).column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in own], pa.binary()), pa.array([packed(s) for s in own], pa.binary())], names=["key", "tokens"])
 
-    full = payload(docs, "doc_id").mapInArrow(build, "key binary, tokens binary").dropDuplicates(["key"]).join(wanted.select("sid", "key"), "key")
-    left = full.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
-    right = full.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
+    full = payload(docs, "doc_id").mapInArrow(build, "key binary, tokens binary").dropDuplicates(["key"])
+    left = full.withColumnRenamed("key", "a_key").join(named, "a_key").select("a", "b", "salt", F.col("tokens").alias("ta"))
+    right = full.withColumnRenamed("key", "b_key").join(ends["b"], "b_key").select("b", F.col("tokens").alias("tb"), _every_salt(_salts(F.col("b_n"))).alias("salt"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -228,7 +288,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, perc
                 keep.append(100 * both >= percent * ((len(x) + len(y)) // 6 - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+    return left.join(right, ["b", "salt"]).select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
 
 
 def _overlap(n: Column, m: Column, percent: int) -> Column:
@@ -299,14 +359,16 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[DataFra
     sets = materialise(counted.join(described.select("sid", "key"), "key"), "sets")
     postings = described.select("sid", "n", "matches", "mass", F.posexplode("tokens").alias("pos", "token"))
     # Most tokens are in one prefix only; they are found by tokens alone.
-    shared = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token")
-    met = materialise(postings.join(shared, "token"), "postings")
-    hubs = met.groupBy("token").agg(F.max(F.struct("mass", "sid", "n", "matches", "pos")).alias("hub"))
+    shared = materialise(postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
+    met = skew_safe_lookup(postings, shared, ["token"], "df", keep=lambda rows: rows.filter("df is not null"))
+    met = materialise(met.drop("df"), "postings")
+    hubs = met.groupBy("token").agg(F.max(F.struct("mass", "sid", "n", "matches", "pos")).alias("hub"), F.count("*").alias("df"))
+    hubs = materialise(hubs, "hubs")
 
     hub = {c: F.col(f"hub.{c}") for c in ("sid", "n", "matches", "pos")}
     mine = {c: F.col(c) for c in hub}
-    stars = met.join(hubs, "token").filter((F.col("sid") != hub["sid"]) & _may_link(mine, hub, percent)).groupBy("sid", hub["sid"].alias("hub")).agg(F.count("*").alias("common"))
-    first = stars.groupBy(F.col("sid").alias("a")).agg(F.max(F.struct("common", "hub"))["hub"].alias("b"))
+    stars = skew_safe_lookup(met, hubs, ["token"], "df").filter((F.col("sid") != hub["sid"]) & _may_link(mine, hub, percent)).groupBy("sid", hub["sid"].alias("other")).agg(F.count("*").alias("common"))
+    first = stars.groupBy(F.col("sid").alias("a")).agg(F.max(F.struct("common", "other"))["other"].alias("b"))
     first = materialise(first, "stars")
     links = materialise(_verify(first, docs, sets, width, percent), "links")
     parts = materialise(components(links), "parts")
@@ -314,20 +376,28 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[DataFra
     parts = parts.withColumnRenamed("key", "sid")
     labelled = met.join(parts, "sid", "left").select("token", "sid", "n", "matches", "pos", F.coalesce("root", "sid").alias("part"))
     counted = labelled.groupBy("token", "part").agg(F.count("*").alias("c"))
-    mixed = counted.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("c", "part"))["part"].alias("main")).filter("parts > 1").select("token", "main")
-    across = labelled.join(mixed, "token").withColumn("main", F.col("part") == F.col("main"))
+    mixed = counted.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("c", "part")).alias("most"), F.sum("c").alias("all")).filter("parts > 1")
+    # In how many salts all rows of a token are dealt, and those that are not in its main part.
+    mixed = materialise(mixed.select("token", "all", F.col("most.part").alias("main_part"), _salts(F.col("all")).alias("all_salts"), _salts(F.col("all") - F.col("most.c")).alias("other_salts")), "mixed")
+    across = skew_safe_lookup(labelled, mixed, ["token"], "all", keep=lambda rows: rows.filter("main_part is not null"))
+    across = across.withColumn("main", F.col("part") == F.col("main_part")).drop("main_part", "all")
     across = materialise(across.join(described.select("sid", F.when(F.col("matches") > 1, F.slice("tokens", 1, HEAD)).alias("head")), "sid"), "across")
     # The smaller set of a pair (by size, then number) needs a shorter prefix than the larger.
     short = across.filter(F.col("pos") < F.col("n") - _overlap(F.col("n"), F.col("n"), percent) + F.col("matches"))
     fields = ("sid", "token", "n", "matches", "pos", "part", "head")
 
-    def meet(xs: DataFrame, ys: DataFrame) -> DataFrame:
-        x, y = (df.select(*(F.col(c).alias(f"{side}_{c}") for c in fields)) for side, df in (("x", xs), ("y", ys)))
+    def meet(xs: DataFrame, x_salts: str, ys: DataFrame, y_salts: str) -> DataFrame:
+        """Pairs of a token's rows, each in the cell of its two salts."""
+        x = xs.select(*(F.col(c).alias(f"x_{c}") for c in fields), _own_salt(F.col("sid"), F.col(x_salts)).alias("u"), _every_salt(F.col(y_salts)).alias("v"))
+        y = ys.select(*(F.col(c).alias(f"y_{c}") for c in fields), _own_salt(F.col("sid"), F.col(y_salts)).alias("v"), _every_salt(F.col(x_salts)).alias("u"))
         at = [{c: F.col(f"{side}_{c}") for c in fields} for side in "xy"]
         smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_sid") < F.col("y_sid")))
-        return x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_part") != F.col("y_part")) & smaller & _may_link(*at, percent) & _matches(*at, percent)).select(F.col("x_sid").alias("a"), F.col("y_sid").alias("b"), _asked_now(*at, percent).alias("asked"))
+        met = x.withColumnRenamed("x_token", "token").join(y.withColumnRenamed("y_token", "token"), ["token", "u", "v"])
+        at = [d | {"token": F.col("token")} for d in at]
+        return met.filter((F.col("x_part") != F.col("y_part")) & smaller & _may_link(*at, percent) & _matches(*at, percent)).select(F.col("x_sid").alias("a"), F.col("y_sid").alias("b"), _asked_now(*at, percent).alias("asked"))
 
-    rows = meet(short.filter("not main"), across).unionByName(meet(short.filter("main"), across.filter("not main")))
+    other, main = "other_salts", "all_salts"
+    rows = meet(short.filter("not main"), other, across, main).unionByName(meet(short.filter("main"), main, across.filter("not main"), other))
     pairs = materialise(rows.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("asked").alias("asked")).filter("common >= asked").select("a", "b"), "pairs")
     more = _verify(pairs, docs, sets, width, percent)
     every = materialise(links.unionByName(more), "links")
@@ -337,7 +407,7 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[DataFra
     best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("m"))
     out = named.join(best, "root").select(F.col("key").alias("__key"), F.col("m.doc_id").alias("component_id"), F.col("m.key").alias("keep_key"), "weight")
     result = materialise(out, "classes")
-    for t in (described, met, first, across, pairs):
+    for t in (described, shared, met, hubs, first, mixed, across, pairs):
         discard(t)
     return table.select("doc_id", "__key", "__n"), result
 
@@ -354,12 +424,12 @@ def dedup_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     _, sets = classes(docs, width, percent)
 
     def own(df: DataFrame) -> DataFrame:
-        return df.filter((F.col("__n") == 0) | ((F.col("__key") == F.col("keep_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("component_id"))))
+        return df.filter((F.col("n") == 0) | ((F.col("key") == F.col("keep_key")) & F.col("id").eqNullSafe(F.col("component_id"))))
 
-    found = skew_safe_lookup(_keyed(docs, width, docs.columns), sets, ["__key"], "weight", keep=own)
-    alone = F.when(F.col("__n") == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))
-    first = W.partitionBy("__key", "__alone").orderBy("doc_id")
-    return found.withColumn("__alone", alone).withColumn("__r", F.row_number().over(first)).filter("__r = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = skew_safe_lookup(_keyed(docs, width), sets.withColumnRenamed("__key", "key"), ["key"], "weight", keep=own)
+    alone = F.when(F.col("n") == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    first = W.partitionBy("key", "alone").orderBy("id")
+    return found.withColumn("alone", alone).withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("row.*")
 
 
 SQL = r"""

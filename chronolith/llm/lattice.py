@@ -4,7 +4,11 @@ A word is a blank followed by its UTF-8 bytes.  An arc spans the bytes of one vo
 piece; every single byte is an arc, too (the vocabulary's byte fallback), so each word has a
 segmentation.  forward() sums over all of them in log space; expected() adds the backward
 pass and gives the expected number of uses of each piece.  Words of one length are handled
-together, as arrays.  Only words of more than BLOCK bytes are cut, into blocks of that length.
+together, as arrays.
+
+Words of more than BLOCK bytes are parted where no piece of more than a byte spans the place.
+Every segmentation has an end there, so the parts' sums multiply to the word's, and nothing is
+lost; between two such places a part is as long as it is.
 """
 
 from __future__ import annotations
@@ -14,7 +18,6 @@ from collections import defaultdict
 import numpy as np
 
 BLOCK = 1024
-LONGEST = 16
 #: The sentencepiece vocabulary with byte fallback; where it lies is a parameter.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -37,7 +40,7 @@ def vocabulary(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
             found.setdefault(bytes([int(model.id_to_piece(i)[3:5], 16)]), worst)
             continue
         piece = model.id_to_piece(i).replace("▁", " ").encode()
-        if b" " not in piece[1:] and len(piece) <= LONGEST:
+        if b" " not in piece[1:]:
             found[piece] = max(found.get(piece, worst), model.get_score(i))
     pieces = sorted(found)
     weight = np.array([1.0 / (10.0 - found[p]) for p in pieces])
@@ -58,7 +61,7 @@ class Lattice:
 
     @staticmethod
     def _keys(rows: np.ndarray, n: int) -> np.ndarray:
-        """A key for each run of n bytes in each row: exact up to 8 bytes, else mixed of the first and the last 8."""
+        """A key for each run of n bytes in each row: the bytes themselves up to 8, else 64 bits mixed of all of them."""
 
         def packed(at: int, k: int) -> np.ndarray:
             width = rows.shape[1] - n + 1
@@ -69,7 +72,10 @@ class Lattice:
 
         if n <= 8:
             return packed(0, n)
-        return packed(0, 8) * np.uint64(0x9E3779B97F4A7C15) ^ packed(n - 8, 8)
+        key = packed(0, 8)
+        for at in range(8, n, 8):
+            key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) ^ packed(at, min(8, n - at))
+        return key
 
     def _arcs(self, rows: np.ndarray) -> dict[int, np.ndarray]:
         """For each piece length, the piece at each row and place, or self.size."""
@@ -83,26 +89,50 @@ class Lattice:
                     out[n] = got
         return out
 
-    @staticmethod
-    def _grouped(words: list[bytes]):
-        """(places in words, byte rows) for words of the same length, a blank before each; long words in blocks."""
+    def _parts(self, word: bytes) -> list[bytes]:
+        """A long word in parts of at most BLOCK bytes, where places that no piece spans allow it."""
+        row = np.frombuffer(word, np.uint8)[None, :]
+        spanned = np.zeros(len(word) + 1, np.int64)
+        for n, ids in self._arcs(row).items():
+            if n > 1:
+                begin = np.nonzero(ids[0] != self.size)[0]
+                np.add.at(spanned, begin + 1, 1)
+                np.add.at(spanned, begin + n, -1)
+        free = np.append(np.nonzero(np.cumsum(spanned)[1:-1] == 0)[0] + 1, len(word)).tolist()
+        out, begin, last = [], 0, 0
+        for place in free:
+            if place - begin > BLOCK and last > begin:
+                out.append(word[begin:last])
+                begin = last
+            last = place
+        return [*out, word[begin:]]
+
+    def _grouped(self, words: list[bytes]):
+        """(places in words, byte rows) for words, or parts of them, of the same length, a blank before each word."""
         groups = defaultdict(list)
         for i, w in enumerate(words):
             w = b" " + w
-            for at in range(0, len(w), BLOCK):
-                groups[len(w[at : at + BLOCK])].append((i, w[at : at + BLOCK]))
+            for part in [w] if len(w) <= BLOCK else self._parts(w):
+                groups[len(part)].append((i, part))
         for n, own in groups.items():
             step = max(1, 400_000 // (n * 8))
             for at in range(0, len(own), step):
                 part = own[at : at + step]
                 yield np.array([i for i, _ in part]), np.frombuffer(b"".join(w for _, w in part), np.uint8).reshape(len(part), n)
 
-    @staticmethod
-    def _alpha(arcs: dict[int, np.ndarray], logp: np.ndarray, rows: int, n: int) -> np.ndarray:
+    def _alpha(self, arcs: dict[int, np.ndarray], logp: np.ndarray, rows: int, n: int) -> np.ndarray:
         alpha = np.full((n + 1, rows, logp.shape[1]), -np.inf)
         alpha[0] = 0.0
+        # By end: the lengths of which some row has a piece there.
+        ending: list[list[int]] = [[] for _ in range(n + 1)]
+        for k, ids in arcs.items():
+            for begin in np.nonzero((ids != self.size).any(0))[0].tolist():
+                ending[begin + k].append(k)
         for i in range(1, n + 1):
-            terms = [alpha[i - k] + logp[ids[:, i - k]] for k, ids in arcs.items() if k <= i]
+            terms = [alpha[i - k] + logp[arcs[k][:, i - k]] for k in ending[i]]
+            if len(terms) == 1:
+                alpha[i] = terms[0]
+                continue
             top = terms[0].copy()
             for t in terms[1:]:
                 np.maximum(top, t, out=top)

@@ -6,17 +6,18 @@ a token's probability is
 
     max(c - D, 0) / N + (D * V / N) * sum over segmentations of the product of piece weights
 
-and a text's is the product over its tokens and one end.  The existing vocabulary scores are
-the first piece weights; expectation steps over all distinct training tokens refit them.  The
-pieces themselves are fixed.  D is n1 / (n1 + 2 n2) from the counts of counts.
+and a text's is the product over its tokens and one end.  Pieces and their weights are the
+vocabulary's, as they are; what is learnt from the corpus are the counts of whole tokens, which
+grow with it.  D is n1 / (n1 + 2 n2) from the counts of counts.
 
 Counts: a token counted often enough to be among about `head` tokens (the threshold comes
 from a histogram of counts in 1/8 powers of two, so the head is bounded) is broadcast with
 its logarithms.  All other tokens of a text go by their bytes to their counts in a shuffle.
 
 Defined cases: null text counts as empty, its score is that of one end; a null id counts as
-the empty text in the split; repeated rows are scored apart; an empty table gives no rows;
-tokens beyond 1024 bytes are summed in blocks of that length.
+the empty text in the split; repeated rows are scored apart, and alike; tokens and texts of any
+length are summed whole; with nothing to learn from, a text's score is that of its lattice; other
+columns are not read, and may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +37,6 @@ from .lattice import VOCABULARY, Lattice, vocabulary
 
 HEAD = 300_000
 LOCAL_TOKENS = 400_000
-ITERATIONS = 2
 #: The end of a text as a token; no other token is empty.
 END = b""
 
@@ -85,32 +85,11 @@ class Model:
             return np.logaddexp(np.log(known), rest + sub) / math.log(10)
 
 
-def fit(counts: DataFrame, path: str = VOCABULARY, iterations: int = ITERATIONS) -> Model:
-    spark = counts.sparkSession
+def fit(counts: DataFrame, path: str = VOCABULARY) -> Model:
     total = counts.agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first()
     n, v, once, twice = (int(x or 0) for x in total)
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
-    pieces, logp = vocabulary(path)
-    floor = np.exp(logp) * len(pieces) * 1e-3
-    for _ in range(iterations if n else 0):
-        sent = spark.sparkContext.broadcast((pieces, logp))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own, weights = sent.value
-            lattice, total = Lattice(own), np.zeros(len(own))
-            for b in batches:
-                words = [w for w in b.column("word").to_pylist() if w]
-                if words:
-                    total += lattice.expected(words, np.ones((len(words), 1)), weights[:, None])[:, 0]
-            used = np.nonzero(total)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["piece", "uses"])
-
-        uses = counts.select("word").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
-        sent.unpersist()
-        weight = floor.copy()
-        weight[uses["piece"].to_numpy()] += uses["uses"].to_numpy()
-        logp = np.log(weight / weight.sum())
-    return Model(pieces, logp, n, v, discount)
+    return Model(*vocabulary(path), n, v, discount)
 
 
 def _with_marginals(rows: DataFrame, model: Model, only_unknown: bool) -> DataFrame:
@@ -136,13 +115,13 @@ def _with_marginals(rows: DataFrame, model: Model, only_unknown: bool) -> DataFr
     return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names if c != "sub") + ", sub double")
 
 
-def score_documents(docs: DataFrame, path: str = VOCABULARY, head: int = HEAD, iterations: int = ITERATIONS) -> DataFrame:
+def score_documents(docs: DataFrame, path: str = VOCABULARY, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     train = payload(docs.filter(id_crc("doc_id") % 10 != 0)).select("text")
     counts = materialise(count_tokens(train), "counts")
-    model = fit(counts, path, iterations)
+    model = fit(counts, path)
     known = materialise(_with_marginals(counts, model, False), "tokens")
 
     steps = known.groupBy(F.floor(F.log2("c") * 8).alias("step")).count().orderBy(F.desc("step")).collect()

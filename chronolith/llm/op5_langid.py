@@ -6,15 +6,17 @@ a text's log likelihood is the sum over its words.
 
 Fit: at most about `sample` labelled documents a language, chosen by a hash of the id, give
 word counts by language; expectation steps from the vocabulary's own scores give piece
-counts; each language is smoothed with the pool of all.  Everything that leaves the executors
-is bounded by languages times pieces.
+counts; each language is smoothed with the pool of all.  What leaves the executors, and what is
+sent to them, is a matrix of pieces by languages: 32,000 rows, and a column for each value of lang.
 
 The score is the posterior of the predicted language, with log likelihoods divided by
 max(1, words / 20), since words of a text are not independent.
 
 Defined cases: null text and text without a letter give `und` with score 0; nothing to learn
 from gives `und`, too; a null id counts as the empty text in the split; repeated rows are
-judged alike; an empty table gives no rows.
+judged alike; of languages that are as likely the first by code point is predicted; words and
+texts of any length are summed whole; other columns are not read, and may have any name; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ SAMPLE = 2000
 ITERATIONS = 2
 CACHE_WORDS = 250_000
 POOL_WEIGHT = 2000.0
-#: Log likelihoods of words already met, for each model, kept while a worker lives.
+#: Log likelihoods of words already met, for each model, kept while a task lasts.
 _MET: dict[str, tuple[dict[bytes, int], np.ndarray]] = {}
 
 

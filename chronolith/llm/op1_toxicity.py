@@ -16,12 +16,16 @@ Fit: at most about `sample` labelled rows of each class, chosen by a hash of the
 ids whose crc32 is 0 mod 5 are never used).  Rows of the class that is sampled at the higher
 rate weigh less in odds and regression, so that both keep the shares they have among all labels
 and scores do not drift with the size of the input.  In fitting, a row's own label is taken out
-of the odds it is described by.
+of the odds it is described by.  The classifier keeps the `n_features` largest odds, and no more
+than the words of its sample have.  The character model has a class for each letter of ASCII and
+one for all bytes beyond it, so words of other scripts are neither helped nor hindered by it.
 
 Defined cases: null and empty texts get the score of a text without words; an id labelled
 twice is toxic if any label says so; a null label does not count; a null id counts as the
-empty text in the split; repeated rows are scored alike; without labels of both classes every
-score is the share of toxic labels (0 without any); an empty table gives no rows.
+empty text in the split; repeated rows are scored alike; of restorations that are as likely the
+search, whose order is fixed, takes the same one each time; texts and tokens of any length are decoded whole; without labels
+of both classes every score is the share of toxic labels (0 without any); other columns are not
+read, and may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -60,7 +64,7 @@ TABLE[97:123] = np.arange(1, 27)
 TABLE[65:91] = np.arange(1, 27)
 TABLE[128:] = 27
 SYMBOLS = 28
-#: For each model, tokens known to carry no odds, and the restored words and odds of the others.
+#: For each model, tokens known to carry no odds, and the restored words and odds of the others; kept while a task lasts.
 _CACHE: dict[str, tuple[set[bytes], dict[bytes, tuple[tuple[bytes, float], ...]]]] = {}
 
 
@@ -193,7 +197,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, v: np.ndarray, ridge: float = 1e-2)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict[bytes, tuple[float, float]], float, np.ndarray | None]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: int = FEATURES) -> tuple[np.ndarray, dict[bytes, tuple[float, float]], float, np.ndarray | None]:
     """The character model, weighted counts of the features kept, the share of toxic rows, and the regression."""
     spark = docs.sparkSession
     model = character_model(docs)
@@ -240,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     if not 0 < rate < 1:
         return model, {}, rate, None
     weight = F.log((F.col("pos") * v1 + 10 * rate) * (1 - rate) / ((F.col("neg") * v0 + 10 * (1 - rate)) * rate))
-    best = counts.filter("pos >= 2").withColumn("w", weight).filter("w > 0.3").orderBy(F.desc("w"), "feature").limit(FEATURES).toPandas()
+    best = counts.filter("pos >= 2").withColumn("w", weight).filter("w > 0.3").orderBy(F.desc("w"), "feature").limit(n_features).toPandas()
     table = dict(zip(best["feature"].map(bytes), zip(best["pos"] * v1, best["neg"] * v0)))
     told = spark.sparkContext.broadcast((model, table, rate))
 

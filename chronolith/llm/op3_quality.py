@@ -14,7 +14,8 @@ The base rules (word count, repeated five-word windows) come on top: a document
 them is rejected whatever its lines say.
 
 Defined cases: a null text counts as empty, has no words and fails the base rules; a text of
-any length is judged whole; repeated rows are judged alike; an empty table gives no rows.
+any length is judged whole; repeated rows are judged alike; a share of words lost that equals
+`max_loss` is not too much; other columns may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -149,7 +150,7 @@ def clean_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 _LINE = r"""line AS (SELECT rid, n, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS list
   FROM (SELECT rid, n, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d))"""
-#: Fails a line of any length for a notice in it, so it differs where such a line has `long_line` words or more.
+_NOTICE = "(?i)all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|enable javascript|accept (?:all )?cookies|subscribe to our newsletter|click here to|powered by [a-z]+$"
 SQL = (
     r"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -165,7 +166,11 @@ judged AS (SELECT rid, n, pos, line, words, row_number() OVER (PARTITION BY rid,
   OR words >= 20 AND NOT regexp_matches(line, '[.!?:;…。！？؟।]')
   OR len(regexp_extract_all(line, '[|>•·»›]')) >= 3 AND 3 * len(regexp_extract_all(line, '[|>•·»›]')) >= words
   OR words <= 6 AND len(list_filter(list, lambda x: NOT regexp_full_match(x, '(?i)home|menu|login|logout|register|search|contact|about|next|previous|back|top|help|faq|share|print|sitemap|archive|categories|tags|comments'))) = 0
-  OR regexp_matches(line, '(?i)all rights reserved|cookie policy|privacy policy|terms of (use|service)|enable javascript|accept (all )?cookies|subscribe to our newsletter|click here to|powered by [a-z]+$') AS fails
+  OR regexp_matches(line, '"""
+    + _NOTICE
+    + r"""') AND (words < 20 OR 4 * list_sum(list_transform(regexp_extract_all(line, '"""
+    + _NOTICE
+    + r"""'), lambda x: len(string_split(x, ' ')))) >= words) AS fails
   FROM line WHERE words > 0),
 lost AS (SELECT rid, count(*) FILTER (dup) AS dups, coalesce(sum(words) FILTER (fails), 0) AS lost FROM judged GROUP BY rid),
 m AS (SELECT doc_id, n::BIGINT AS n_words, (length(text) - length(regexp_replace(text, '[^ 	-

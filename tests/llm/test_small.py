@@ -474,43 +474,61 @@ def test_shard_documents(spark, corpus):
 # 2, 5 ------------------------------------------------------------------------------------------
 
 
-def plain_marginal(word, weights):
-    w = b" " + word
-    a = [1.0] + [0.0] * len(w)
+def log_add(terms):
+    top = max(terms, default=-math.inf)
+    return top if top == -math.inf else top + math.log(sum(math.exp(t - top) for t in terms))
+
+
+def plain_alpha(w, logs):
+    a = [0.0] + [-math.inf] * len(w)
     for i in range(1, len(w) + 1):
-        a[i] = sum(a[j] * weights.get(w[j:i], 0.0) for j in range(max(0, i - 16), i))
-    return math.log(a[-1])
+        a[i] = log_add([a[j] + logs[w[j:i]] for j in range(max(0, i - 64), i) if w[j:i] in logs])
+    return a
+
+
+def plain_marginal(word, logs):
+    return plain_alpha(b" " + word, logs)[-1]
 
 
 def test_lattice_sums_all_segmentations():
     pieces, logp = vocabulary()
-    weights = dict(zip(pieces, np.exp(logp)))
-    ws = ["the", "größe", "x" * 60, "$$$", "部署", "thation"]
-    got = Lattice(pieces).forward([w.encode() for w in ws], logp[:, None])[:, 0]
-    assert got == pytest.approx([plain_marginal(w.encode(), weights) for w in ws])
+    logs = dict(zip(pieces, logp))
+    longest = max(pieces, key=len)
+    assert len(longest) > 16
+    r = random.Random(5)
+    ws = [w.encode() for w in ["the", "größe", "x" * 60, "$$$", "部署", "thation"]] + [longest.strip(), b"in" + longest.strip() * 2]
+    # Longer than a block: with places that no piece spans, and without any.
+    ws += ["部署失败我们讨论".encode() * 200, b"a" * 3000, "".join(r.choices("abc#é1 部".replace(" ", ""), k=2500)).encode(), b"ing" * 900 + b"\xff" + b"tion" * 800]
+    got = Lattice(pieces).forward(ws, logp[:, None])[:, 0]
+    assert got == pytest.approx([plain_marginal(w, logs) for w in ws])
     uses = Lattice(pieces).expected([b"the"], np.ones((1, 1)), logp[:, None])[:, 0]
     assert sum(len(p) * u for p, u in zip(pieces, uses)) == pytest.approx(4.0)
 
 
 @pytest.mark.parametrize("head", [0, 40, 300_000])
 def test_lm_scores(spark, corpus, head):
+    corpus = corpus + [(5001, "部署失败" * 300 + " x", None, "s"), (5002, prose(9000), "en", "s")]
     docs = table(spark, corpus)
-    got = op2_lm.score_documents(docs, head=head, iterations=1).collect()
+    got = op2_lm.score_documents(docs, head=head).collect()
     train = [t for i, t, *_ in corpus if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
     c = Counter(w for t in train for w in words(t)) + Counter({b"": len(train)})
     n, v = sum(c.values()), len(c)
+    once, twice = (sum(k == x for k in c.values()) for x in (1, 2))
+    d = min(0.95, max(0.05, once / (once + 2 * twice)))
+    logs = dict(zip(*vocabulary()))
+    marginal = {w: plain_marginal(w, logs) if w else -math.log(v + 1) for w in {w for _, t, *_ in corpus for w in [*words(t), b""]}}
     want = []
     for i, t, *_ in corpus:
         ts = words(t) + [b""]
         base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ts)
-        want.append((str(i), zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0, len(ts), sum(c[w] > 0 for w in ts), n, round(base, 6)))
-    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == sorted(want)
-    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+        score = sum(log_add([math.log(max(c[w] - d, 0) / n) if c[w] > d else -math.inf, math.log(d * v / n) + marginal[w]]) for w in ts) / math.log(10)
+        want.append((str(i), zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0, len(ts), sum(c[w] > 0 for w in ts), n, round(base, 5), round(score, 5)))
+    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in got) == sorted(want)
 
 
 def test_lm_score_does_not_depend_on_the_head(spark, corpus):
     docs = table(spark, corpus)
-    a, b = (sorted((str(r["doc_id"]), round(r["score"], 6)) for r in op2_lm.score_documents(docs, head=h, iterations=1).collect()) for h in (0, 300_000))
+    a, b = (sorted((str(r["doc_id"]), round(r["score"], 6)) for r in op2_lm.score_documents(docs, head=h).collect()) for h in (0, 300_000))
     assert a == b
     assert op2_lm.score_documents(docs.limit(0)).count() == 0
 
@@ -527,6 +545,50 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in op5_langid.identify(table(spark, ODD[:1])).collect()} == {"und"}
 
 
+def test_languages_are_what_plain_steps_give(spark):
+    """Two expectation steps over the vocabulary, smoothing, and a text's posterior, with dictionaries."""
+    r = random.Random(6)
+    voc = {"aa": "the and shing tion onder weath".split(), "bb": "der und schaft keit ung zwisch".split(), "cc": "部署 失败 我们".split()}
+    rows = [(i, " ".join("".join(r.choices(voc[g], k=2)) for _ in range(r.randint(1, 30))), g, g) for i in range(60) for g in [("aa", "bb", "cc")[i % 3]]]
+    rows += [(100, "theandtion " * 400, "aa", "s"), (101, "部署失败" * 500, "cc", "s"), (102, None, "aa", "s"), (103, "?! 12", "bb", "s"), (104, "der und", None, "s")]
+    rows += [rows[5], rows[5]]
+    pieces, start = vocabulary()
+    crc = lambda i: zlib.crc32(str(i).encode()) % 4
+    learnt = [(words(t), g) for i, t, g, _ in rows if crc(i) != 2 and t is not None and g is not None]
+    langs = sorted({g for _, g in learnt})
+    logs = dict(zip(pieces, start))
+    for _ in range(op5_langid.ITERATIONS):
+        uses = {g: Counter() for g in langs}
+        for ws, g in learnt:
+            for w, k in Counter(ws).items():
+                w = b" " + w
+                a, z = plain_alpha(w, logs), plain_alpha(w[::-1], {p[::-1]: x for p, x in logs.items()})[::-1]
+                for i in range(len(w)):
+                    for j in range(i + 1, min(len(w), i + 64) + 1):
+                        if w[i:j] in logs:
+                            uses[g][w[i:j]] += k * math.exp(a[i] + logs[w[i:j]] + z[j] - a[-1])
+        total = {g: sum(uses[g].values()) for g in langs}
+        pool = {p: sum(uses[g][p] / max(total[g], 1e-9) for g in langs) + math.exp(x) * 1e-2 for p, x in zip(pieces, start)}
+        whole = sum(pool.values())
+        pool = {p: x / whole for p, x in pool.items()}
+        logs = {p: math.log(x) for p, x in pool.items()}
+    by = {g: {p: math.log((uses[g][p] + op5_langid.POOL_WEIGHT * pool[p]) / (total[g] + op5_langid.POOL_WEIGHT)) for p in pieces} for g in langs}
+    sizes = Counter(g for _, g in learnt)
+    prior = {g: math.log((sizes[g] + 1) / (len(learnt) + len(langs))) for g in langs}
+    met = {w: {g: plain_marginal(w, by[g]) for g in langs} for w in {w for _, t, *_ in rows for w in words(t)}}
+    for x in op5_langid.identify(table(spark, rows)).collect():
+        t = next(t for i, t, *_ in rows if i == x["doc_id"])
+        assert x["held_out"] == (crc(x["doc_id"]) == 2)
+        if not any(c.isalpha() for c in t or ""):
+            assert (x["lang_pred"], x["score"]) == ("und", 0.0)
+            continue
+        ws = words(t)
+        sums = {g: sum(met[w][g] for w in ws) / max(1.0, len(ws) / 20) + prior[g] for g in langs}
+        best = max(sums, key=lambda g: sums[g])
+        assert x["lang_pred"] == best and x["score"] == pytest.approx(math.exp(sums[best] - log_add(list(sums.values()))), abs=1e-6)
+    assert op5_langid.identify(table(spark, rows).limit(0)).count() == 0
+
+
 # 1 ---------------------------------------------------------------------------------------------
 
 
@@ -579,6 +641,57 @@ def test_restoration_at_edges(spark):
     assert not op1_toxicity.SPACED.search("a – b • c".encode())
 
 
+def every_path(token, lm, edges):
+    """All restorations of a token with their scores: what decode() searches."""
+    n = len(token)
+    has = [97 <= c <= 122 or c > 127 for c in token]
+    first, last = (-1, n) if edges else (has.index(True), n - 1 - has[::-1].index(True))
+    found = [((0, 0, 0), 0.0, b"")]
+    for i, c in enumerate(token):
+        inside, separator = i < last and (i > first or i == first - 1), c in op1_toxicity.SEPARATORS
+        new = []
+        for (a, b, d), score, text in found:
+            step = lambda k, out, cost: new.append(((b, d, k), score + cost + lm[a][b][d][k], text + out))  # noqa: B023, E731
+            stay = lambda cost: new.append(((a, b, d), score + cost, text))  # noqa: B023, E731
+            if has[i]:
+                step(27 if c > 127 else c - 96, token[i : i + 1], 0.0)
+                if c < 128 and i and token[i - 1] == c:
+                    stay(op1_toxicity.RUN_COST if i > 1 and token[i - 2] == c or token[i + 1 : i + 2] == token[i : i + 1] else op1_toxicity.DOUBLE_COST)
+                continue
+            breaks = op1_toxicity.BREAK_COST if inside and not separator else 0.0
+            step(0, b" ", breaks) if d else stay(breaks)
+            for x in op1_toxicity.LEET.get(token[i : i + 1], b""):
+                step(x - 96, bytes([x]), op1_toxicity.LEET_COST * (1 if inside else 2))
+            if inside and (separator or i and token[i - 1] == c):
+                stay(op1_toxicity.DROP_COST)
+        found = new
+    return [(s + (lm[a][b][d][0] if d else 0.0), t.strip()) for (a, b, d), s, t in found]
+
+
+def test_decoding_finds_the_best_path(spark, toxic_corpus):
+    lm = op1_toxicity.character_model(table(spark, toxic_corpus[0])).tolist()
+    r = random.Random(21)
+    for k in range(150):
+        token = "".join(r.choices("grubnokvas0135@$!.-_| é", k=r.randint(1, 9))).replace(" ", "").encode()
+        edges = k % 2 == 0
+        if not token or not edges and not any(97 <= c <= 122 or c > 127 for c in token):
+            continue
+        paths = every_path(token, lm, edges)
+        best = max(s for s, _ in paths)
+        assert op1_toxicity.decode(token, lm, edges) in {t for s, t in paths if s > best - 1e-9}, token
+
+
+def test_toxicity_of_odd_rows(spark, toxic_corpus):
+    rows, labels = toxic_corpus
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    long = prose(30_000) + " gru8n0k"
+    extra = [(2000, long, "en", "s"), (2001, "g" * 20_000, "en", "s"), rows[3], rows[3]]
+    got = op1_toxicity.score_documents(table(spark, rows + extra), lab).collect()
+    assert len(got) == len(rows) + 4 and len({r["score"] for r in got if r["doc_id"] == rows[3][0]}) == 1
+    assert next(r for r in got if r["doc_id"] == 2000)["worst"] == "grubnok"
+    assert op1_toxicity.score_documents(table(spark, rows).limit(0), lab).count() == 0
+
+
 def test_toxicity(spark, toxic_corpus):
     rows, labels = toxic_corpus
     extra = [(1000, "tan mer lo gru8n0k vi sto", "en", "s"), (1001, "ren ka v a s t e e l du", "en", "s"), (1002, "tan mer lo vi sto", "en", "s"), (1003, None, None, None), (None, "", None, None)]

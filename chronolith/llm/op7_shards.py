@@ -4,8 +4,8 @@ append    arriving rows become small immutable shards: a task starts a new shard
           one it fills reaches `small` bytes of text.  No shuffle.
 plan      shards of one size tier (powers of `fanin` over `small`) are put in runs where their
           running size crosses a multiple of `target`; a run of `fanin` shards or more, or of two
-          or more that fill half a target, is merged, all others wait for more of their size.
-          Running sizes are sums over slices, in the engine.
+          or more that fill half a target, is merged, all others wait for more of their size.  A
+          shard of half a target or more is done.  Running sizes are sums over slices, in the engine.
 compact   runs are rewritten as shards of at most about `target`; what a merge makes is of a higher
           tier, where it may be merged with its like, so passes go on until no tier has a run.
 commit    a new manifest version appears under its name at once or not at all, and not if that
@@ -108,16 +108,23 @@ class Store:
         """The live shards: shard, folder, bytes, rows."""
         return self._tables(self.manifest(version)["live"])
 
-    def rows(self, version: int | None = None) -> DataFrame | None:
-        """The live rows: row, bytes, shard."""
-        own = self.manifest(version)
-        live, out = self._tables(own["live"]).select("shard"), None
-        for folder, kind in own["folders"].items():
+    def _rows(self, folders: dict) -> DataFrame | None:
+        """row, bytes, shard of everything in some folders."""
+        out = None
+        for folder, kind in folders.items():
             schema = T.StructType([T.StructField("row", T.StructType.fromJson(kind)), T.StructField("bytes", T.LongType()), T.StructField("shard", T.StringType())])
-            rows = self.spark.read.option("basePath", folder).schema(schema).parquet(folder).join(live, "shard", "left_semi").select("row", "bytes", "shard")
+            rows = self.spark.read.option("basePath", folder).schema(schema).parquet(folder)
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
         return out
 
+    def rows(self, version: int | None = None) -> DataFrame | None:
+        """The live rows: row, bytes, shard."""
+        own = self.manifest(version)
+        out = self._rows(own["folders"])
+        if out is None or not own["retired"]:
+            return out
+        return out.join(self._tables(own["live"]).select("shard"), "shard", "left_semi").select("row", "bytes", "shard")
+
     def read(self, version: int | None = None) -> DataFrame | None:
         rows = self.rows(version)
         return None if rows is None else rows.select("row.*")
@@ -165,7 +172,10 @@ class Store:
             if size is None:
                 return old["version"]
             folder = self._folder(old["version"] + 1)
-            moved = self.rows().join(merges.select("shard", "into"), "shard").select("row", "bytes", F.col("into").alias("shard"))
+            touched = {r["folder"] for r in merges.select("folder").distinct().collect()}
+            moved = self._rows({f: k for f, k in old["folders"].items() if f in touched})
+            # The filter is always true; with one, Spark lets the merges prune the folders of other shards.
+            moved = moved.join(merges.filter("bytes >= 0").select("shard", "into"), "shard").select("row", "bytes", F.col("into").alias("shard"))
             # A task has about one new shard, whatever the size of the store, and writes it as one file.
             live = self._write(moved.repartition(max(1, -(-size // target)), "shard"), folder)
             stay = self._table("live", self._tables(old["live"]).join(merges, "shard", "left_anti"))
@@ -201,7 +211,7 @@ def plan(shards: DataFrame, target: int, fanin: int, small: int, tag: str) -> Da
     Metadata of shards only; no task sorts a tier.
     """
     tier = F.floor(F.log(F.greatest(F.col("bytes"), F.lit(small)) / F.lit(float(small))) / F.log(F.lit(float(fanin))) + 1e-9)
-    rows = shards.filter(F.col("bytes") < target).withColumn("tier", tier)
+    rows = shards.filter(F.col("bytes") * 2 < target).withColumn("tier", tier)
     placed = grouped_prefix(rows, F.col("tier"), F.md5("shard"), F.col("bytes"), [F.col("shard")])
     placed = placed.withColumn("run", F.floor(F.col("before") / target))
     runs = placed.groupBy("tier", "run").agg(F.count("*").alias("members"), F.sum("bytes").alias("run_bytes"))

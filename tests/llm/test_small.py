@@ -407,7 +407,7 @@ def plain_plan(shards, target, fanin, small):
     """The runs that compact() has to merge, from sizes by name."""
     tiers, runs = defaultdict(list), defaultdict(list)
     for name, (size, _) in shards.items():
-        if size < target:
+        if 2 * size < target:
             tiers[math.floor(math.log(max(size, small) / small, fanin) + 1e-9)].append(name)
     for tier, names in tiers.items():
         at = 0

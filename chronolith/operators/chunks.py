@@ -1,13 +1,14 @@
 """Segments to retrieval chunks, by sentence ends, pauses and length.
 
 The fold marks where chunks begin; segments then take the last mark before them, and a chunk
-is a grouped aggregate.  `Chunker` is the same rule one segment at a time, for streams.
+is a grouped aggregate.  chunk_step() is the same fold one segment at a time, for streams.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -67,33 +68,34 @@ def segment_ids(first: Column, last: Column) -> Column:
     return F.transform(F.sequence(first, last), lambda i: numbered_id("seg", i))
 
 
-@dataclass
-class Chunker:
-    """The rule for one timeline, segment by segment; `state` restores a stopped run."""
-
-    rules: ChunkRules = ChunkRules()
-    pending: list[tuple[int, float, float, str]] = field(default_factory=list)
-
-    def add(self, idx: int, start: float, end: float, text: str) -> list[tuple[int, int, float, float, str]]:
-        """Chunks closed by a segment: (first, last, start, end, text)."""
-        out, r = [], self.rules
-        if self.pending:
-            first, last = self.pending[0][1], self.pending[-1][2]
-            gap, length = start - last, last - first
-            if end - first > r.most or gap >= r.break_on_pause and length >= r.least / 2 or gap >= PAUSE and length >= (r.least + r.most) / 2:
-                out += self.flush()
-        self.pending.append((idx, start, end, text))
-        length = end - self.pending[0][1]
-        if length >= r.most or length >= r.least and re.search(T.SENTENCE_END, text.rstrip()):
-            out += self.flush()
-        return out
-
-    def flush(self) -> list[tuple[int, int, float, float, str]]:
-        if not self.pending:
-            return []
-        own, self.pending = self.pending, []
-        text = ""
-        for piece in filter(None, (x[3].strip() for x in own)):
-            glue = "" if not text or T.is_cjk(text[-1]) and T.is_cjk(piece[0]) else " "
-            text += glue + piece
-        return [(own[0][0], own[-1][0], own[0][1], max(x[2] for x in own), text)]
+class Pending(NamedTuple):
+    """The open chunk of a timeline between micro-batches: what the fold keeps, and its rows."""
+
+    first: float | None = None
+    last: float | None = None
+    rows: tuple[tuple[int, float, float, str], ...] = ()
+
+
+Chunk = tuple[int, int, float, float, str]
+
+
+def closed(open_: Pending) -> list[Chunk]:
+    """The open chunk as (first, last, start, end, text), if there is one."""
+    if not open_.rows:
+        return []
+    numbers, starts, ends, texts = zip(*open_.rows)
+    return [(numbers[0], numbers[-1], starts[0], max(ends), T.joined(texts))]
+
+
+def chunk_step(open_: Pending, row: tuple[int, float, float, str], rules: ChunkRules = ChunkRules()) -> tuple[Pending, list[Chunk]]:
+    """The fold of chunk_marks(), segment by segment: (idx, start, end, text) in, closed chunks out."""
+    _, start, end, text = row
+    done: list[Chunk] = []
+    if open_.rows:
+        silence, length = start - open_.last, open_.last - open_.first
+        enough = [(rules.break_on_pause, rules.least / 2), (PAUSE, (rules.least + rules.most) / 2)]
+        if end - open_.first > rules.most or any(silence >= pause and length >= least for pause, least in enough):
+            done, open_ = closed(open_), Pending()
+    open_ = Pending(open_.first if open_.rows else start, end, (*open_.rows, row))
+    full = rules.least if re.search(T.SENTENCE_END, text.rstrip()) else rules.most
+    return (Pending(), done + closed(open_)) if end - open_.first >= full else (open_, done)

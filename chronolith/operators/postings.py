@@ -8,6 +8,7 @@ terms prune files.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -35,21 +36,21 @@ class Query:
 
     @classmethod
     def parse(cls, text: str) -> Query:
-        found = T.token_list(text)
-        words = [t for t in found if not T.is_cjk(t[0])]
+        """Words but stop words (all words where nothing else is left), then pairs of neighbours in runs of CJK
+        characters; the whole as a phrase if it is short and has more than one term."""
+        tokens = T.token_list(text)
+        words, pairs = [], []
+        for cjk, run in groupby(tokens, key=lambda t: T.is_cjk(t[0])):
+            if cjk:
+                chars = "".join(run)
+                pairs += [chars[i : i + 2] for i in range(max(1, len(chars) - 1))]
+            else:
+                words += run
         stop = set(T.stop_words())
-        terms = {w: Term(w, T.stem_of(w)) for w in ([w for w in words if w not in stop] or words)}
-        run = ""
-        for t in [*found, ""]:
-            if t and T.is_cjk(t[0]):
-                run += t
-                continue
-            for piece in [run] if len(run) <= 2 else [run[i : i + 2] for i in range(len(run) - 1)]:
-                if piece:
-                    terms.setdefault(piece, Term(piece, cjk=True))
-            run = ""
-        phrase = tuple(found) if 2 <= len(found) <= T.LONGEST_PHRASE and len(terms) >= 2 else ()
-        return cls(text, tuple(terms.values()), phrase)
+        content = [w for w in words if w not in stop] or words
+        terms = (*(Term(w, T.stem_of(w)) for w in dict.fromkeys(content)), *(Term(p, cjk=True) for p in dict.fromkeys(pairs)))
+        short = len(terms) > 1 and 1 < len(tokens) <= T.LONGEST_PHRASE
+        return cls(text, terms, tuple(tokens) if short else ())
 
     def units(self) -> list[tuple[str, list[str]]]:
         """(kind, tokens) with kind term, prefix or phrase."""
@@ -123,19 +124,23 @@ def _begins(stem: str):
 
 
 def _joined_frequencies(indexed: DataFrame, units: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """The same for many queries at once: words and stems of one call are broadcast to exploded tokens."""
-    units = F.broadcast(units.filter(F.col("kind").isin(*kinds)))
+    """The same for many queries at once, by one equi join of exploded tokens.
+
+    A token is looked up as it is and by its first letters, as many as the shortest stem has; a
+    phrase is looked up by its longest word and counted in the segments that have it.
+    """
+    head = T.SHORTEST_STEM
+    first = F.get("words", F.lit(0))
+    longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    at = F.when(F.col("kind") == "prefix", F.concat(F.lit("^"), F.left(first, F.lit(head)))).otherwise(F.concat(F.lit("="), F.when(F.col("kind") == "phrase", longest).otherwise(first)))
+    wanted = units.filter(F.col("kind").isin(*kinds)).select("query_id", "unit", "kind", "words", at.alias("at"))
     words = indexed.select("video_id", "idx", F.explode("tokens").alias("term"))
-    first = F.get(F.col("words"), F.lit(0))
-    keys = ["query_id", "unit", "video_id", "idx"]
-    exact = words.join(units.filter("kind = 'term'").select("query_id", "unit", first.alias("term")), "term")
-    starts = units.filter("kind = 'prefix'").select("query_id", "unit", first.alias("stem"))
-    prefix = words.join(F.broadcast(starts), F.startswith("term", "stem"))
-    single = exact.select(*keys).unionByName(prefix.select(*keys)).groupBy(*keys).agg(F.count("*").alias("tf"))
-    phrases = F.broadcast(units.filter("kind = 'phrase'").select("query_id", "unit", "words"))
-    runs = indexed.select("video_id", "idx", "tokens").join(phrases, F.forall("words", lambda w: F.array_contains("tokens", w)))
-    runs = runs.select(*keys, T.phrase_count(F.col("tokens"), F.col("words")).cast("long").alias("tf")).filter("tf > 0")
-    return indexed.join(single.unionByName(runs), ["video_id", "idx"]).select(*indexed.columns, "query_id", "unit", "tf")
+    keys = F.array(F.concat(F.lit("="), "term"), F.concat(F.lit("^"), F.left("term", F.lit(head))))
+    met = words.select("video_id", "idx", "term", F.explode(keys).alias("at")).join(wanted, "at")
+    met = met.filter((F.col("kind") != "prefix") | F.startswith("term", first))
+    found = met.groupBy("query_id", "unit", "video_id", "idx").agg(F.count("*").alias("tf"), F.first("kind").alias("kind"), F.first("words").alias("words"))
+    out = indexed.join(found, ["video_id", "idx"]).withColumn("tf", F.when(F.col("kind") == "phrase", T.phrase_count(F.col("tokens"), F.col("words")).cast("long")).otherwise(F.col("tf")))
+    return out.filter("tf > 0").select(*indexed.columns, "query_id", "unit", "tf")
 
 
 def with_stats(indexed: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import speech as S
 from ..sources import media as M
 
@@ -53,11 +54,17 @@ class Recogniser(Protocol):
 class IngestConfig:
     recogniser: str
     language: str | None = None
+    profile: str = "balanced"
     speech: S.SpeechRules = S.SpeechRules()
     pack_seconds: float = 30.0
     first_pack_seconds: float = 10.0
     join_gap: float = 3.0
 
+    @property
+    def settings(self) -> dict:
+        """What the profile asks of a recogniser."""
+        return PROFILES[self.profile]
+
     def key(self) -> str:
         """Rows of runs with different keys never mix."""
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()[:24]
@@ -93,8 +100,8 @@ def recognise(packs: DataFrame, make: Callable[[], Recogniser], language: str |
                 yield pa.RecordBatch.from_arrays(rows, names=[*names, "i", "a", "b", "text", "avg_logprob", "no_speech_prob"])
 
     heard = packs.select("path", "pack", "regions", "samples").mapInArrow(run, HEARD)
-    heard = heard.withColumn("text", F.trim("text")).filter(F.length("text") > 0).withColumn("at", S.map_span(F.col("regions"), F.col("a"), F.col("b")))
-    return heard.select("path", "pack", "i", (F.rint(F.col("at.start_s") * 1000) / 1000).alias("start_s"), (F.rint(F.col("at.end_s") * 1000) / 1000).alias("end_s"), "text", F.round(F.exp("avg_logprob"), 4).alias("confidence"), F.round("no_speech_prob", 4).alias("no_speech_prob"))
+    heard = heard.withColumn("text", T.strip(F.col("text"))).filter(F.length("text") > 0).withColumn("at", S.map_span(F.col("regions"), F.col("a"), F.col("b")))
+    return heard.select("path", "pack", "i", (F.rint(F.col("at.start_s") * 1000) / 1000).alias("start_s"), (F.rint(F.col("at.end_s") * 1000) / 1000).alias("end_s"), "text", (F.rint(F.exp("avg_logprob") * 10_000) / 10_000).alias("confidence"), (F.rint(F.col("no_speech_prob") * 10_000) / 10_000).alias("no_speech_prob"))
 
 
 def transcribe(files: DataFrame, make: Callable[[], Recogniser], config: IngestConfig, probabilities: Callable[[DataFrame], DataFrame] = M.loudness_windows) -> DataFrame:

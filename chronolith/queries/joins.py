@@ -24,22 +24,6 @@ def tool_caps(spark, d):
     return rows.select("video_id", "idx", F.left("text", F.lit(120)).alias("shown"))
 
 
-@query(f"WITH {SEG}, f AS (SELECT DISTINCT d.doc_id AS video_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 60))) SELECT video_id, count(*) AS items FROM f GROUP BY video_id")
-def passage_timelines(spark, d):
-    """Timelines that quote the first 60 characters of a known passage (any part: passage_quotes); the passages are a small, fixed set.
-
-    Passages go to texts through their first five words, so no text meets every passage.
-    """
-    words = lambda c: F.split(c, " ")
-    gram = lambda ws, i: F.array_join(F.slice(ws, i, 5), " ")
-    b = S.table(spark, d, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("quote"), words(F.col("text")).alias("w"))
-    b = b.select("item_id", "quote", gram(F.col("w"), F.lit(2)).alias("gram"))
-    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), "text", words(F.col("text")).alias("w")).filter("size(w) > 5")
-    grams = docs.select("video_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: gram(F.col("w"), i)))).alias("gram"))
-    hits = grams.join(b, "gram").filter(F.contains("text", F.col("quote"))).select("video_id", "item_id").distinct()
-    return hits.groupBy("video_id").agg(F.count("*").alias("items"))
-
-
 #: Words of a run by which a passage is recognised; a shorter passage is looked for whole.
 RUN = 8
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
@@ -55,8 +39,8 @@ def passage_quotes(spark, d):
     words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
     grams = lambda: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " ")))).alias("gram")
     b = S.table(spark, d, "benchmark").select("item_id", words.alias("w")).withColumn("n", F.least(F.lit(RUN), F.size("w"))).filter("n > 0")
-    # Lengths of runs: at most eight rows.
-    lengths = F.broadcast(b.select("n").distinct())
-    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), words.alias("w")).crossJoin(lengths).filter("size(w) >= n")
+    # At most eight numbers.
+    lengths = F.array(*(F.lit(r["n"]) for r in b.select("n").distinct().collect())).cast("array<int>")
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), words.alias("w"), F.explode(lengths).alias("n")).filter("size(w) >= n")
     hits = docs.select("video_id", "n", grams()).join(b.select("item_id", "n", grams()), ["n", "gram"]).select("video_id", "item_id").distinct()
     return hits.groupBy("video_id").agg(F.count("*").alias("items"))

@@ -36,12 +36,12 @@ def running_counters(spark, d):
     return S.table(spark, d, "events").select("user_id", "event_id", F.round(F.sum("value").over(order), 4).alias("total"), F.count("*").over(order).alias("n"))
 
 
-@query(f"""WITH {RUNS}, n AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linenumber > 1 GROUP BY l_orderkey),
+@query(f"""WITH {RUNS}, n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey),
 x AS (SELECT run_id, CASE WHEN run_id % 13 = 0 THEN NULL WHEN run_id % 11 = 0 THEN 'failed' ELSE status END AS status, coalesce(n, 0) AS n FROM runs LEFT JOIN n ON run_id = l_orderkey)
 SELECT run_id, CASE WHEN status IS NULL OR status = 'complete' AND n = 0 THEN 'empty' WHEN status IN ('complete', 'failed', 'running') THEN status ELSE 'partial' END AS shown FROM x""")
 def run_status(spark, d):
     """P9."""
-    n = S.table(spark, d, "lineitem").filter("l_linenumber > 1").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count("*").alias("n"))
+    n = S.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count("*").alias("n"))
     status = F.when(F.col("run_id") % 13 == 0, None).when(F.col("run_id") % 11 == 0, "failed").otherwise(F.col("status"))
     rows = S.runs(spark, d).join(n, "run_id", "left").withColumn("status", status)
     return rows.select("run_id", O.shown_status(F.col("status"), F.coalesce("n", F.lit(0))).alias("shown"))
@@ -63,10 +63,10 @@ def delete_run_rows(spark, d):
     return O.without_runs(S.table(spark, d, "lineitem"), gone, "l_orderkey").select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT o.o_orderkey, coalesce(string_agg(l.l_linenumber::VARCHAR || ':' || l.l_partkey::VARCHAR, ',' ORDER BY l.l_linenumber, l.l_partkey), '') AS words FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_quantity > 25 GROUP BY o.o_orderkey")
+@query("SELECT o.o_orderkey, coalesce(string_agg(l.l_linenumber::VARCHAR || ':' || l.l_partkey::VARCHAR, ',' ORDER BY l.l_linenumber, l.l_partkey), '') AS words FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey")
 def nest_words(spark, d):
     """J3."""
-    words = S.table(spark, d, "lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
+    words = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
     out = O.nest_words(S.table(spark, d, "orders").select("o_orderkey"), words, ["o_orderkey"])
     return out.select("o_orderkey", F.array_join(F.transform("words", lambda w: F.concat(w["l_linenumber"].cast("string"), F.lit(":"), w["l_partkey"].cast("string"))), ",").alias("words"))
 
@@ -93,7 +93,9 @@ def evidence_counts(spark, d):
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def latency_percentiles(spark, d):
     """A14."""
-    return S.table(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
+    # Values are counted first, so that a few hot types send each of theirs once.
+    n = S.table(spark, d, "events").groupBy("event_type", "value").agg(F.count("*").alias("n"))
+    return n.groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5), F.col("n")), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95), F.col("n")), 6).alias("p95"))
 
 
 @query("SELECT user_id, sum((props ->> '$.k')::BIGINT)::BIGINT AS total FROM events GROUP BY user_id")

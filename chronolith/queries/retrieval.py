@@ -111,76 +111,35 @@ def interval_merge(spark, d):
     return O.interval_merge(S.spans(spark, d), ["user_id"], 4 * HOUR, "start_ms", "end_ms", "event_id")
 
 
-_WIN = "w AS (SELECT video_id, idx AS win, start_s - 3.0 AS w_start, end_s + 5.0 AS w_end FROM seg WHERE idx % 5 = 2)"
-_ALL = _WIN.replace(" WHERE idx % 5 = 2", "")
+_WIN = "w AS (SELECT video_id, idx AS win, start_s - 3.0 AS w_start, end_s + 5.0 AS w_end FROM seg)"
 
 
 def _widened(seg):
     return seg.select("video_id", F.col("idx").alias("win"), (F.col("start_s") - 3.0).alias("w_start"), (F.col("end_s") + 5.0).alias("w_end"))
 
 
-def _first_window(win: str) -> str:
-    return f"""WITH {SEG}, {win} SELECT s.video_id, s.idx, w.win FROM seg s JOIN w ON s.video_id = w.video_id AND s.end_s >= w.w_start AND s.start_s <= w.w_end
-QUALIFY row_number() OVER (PARTITION BY s.video_id, s.idx ORDER BY w.w_start, w.w_end) = 1"""
-
-
-@query(_first_window(_WIN))
+@query(f"""WITH {SEG}, {_WIN} SELECT s.video_id, s.idx, w.win FROM seg s JOIN w ON s.video_id = w.video_id AND s.end_s >= w.w_start AND s.start_s <= w.w_end
+QUALIFY row_number() OVER (PARTITION BY s.video_id, s.idx ORDER BY w.w_start, w.w_end) = 1""")
 def interval_join(spark, d):
-    """Each segment goes to the earliest window that it overlaps; windows from one segment in five."""
-    seg = S.segments(spark, d)
-    return O.assign_earliest(_widened(seg.filter("idx % 5 = 2")), seg, ["video_id"], ["idx"]).select("video_id", "idx", "win")
-
-
-@query(_first_window(_ALL))
-def interval_join_all(spark, d):
-    """J5, windows from every segment."""
+    """Each segment goes to the earliest window that it overlaps; windows from every segment."""
     seg = S.segments(spark, d)
-    return O.assign_earliest(_widened(seg), seg, ["video_id"], ["idx"]).select("video_id", "idx", "win")
-
-
-def _overlaps(win: str) -> str:
-    return f"""WITH {SEG}, {win} SELECT w.video_id, w.win, count(*) AS n, min(s.idx) AS first_idx, max(s.idx) AS last_idx FROM w JOIN seg s ON s.video_id = w.video_id AND s.end_s >= w.w_start AND s.start_s <= w.w_end GROUP BY ALL"""
-
+    return O.assign_earliest(_widened(seg), seg.drop("text"), ["video_id"], ["idx"]).select("video_id", "idx", "win")
 
-def _expanded(seg, w):
-    return O.overlap_join(w, seg, ["video_id"]).groupBy("video_id", "win").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
 
-
-@query(_overlaps(_WIN))
+@query(f"""WITH {SEG}, {_WIN} SELECT w.video_id, w.win, count(*) AS n, min(s.idx) AS first_idx, max(s.idx) AS last_idx FROM w JOIN seg s ON s.video_id = w.video_id AND s.end_s >= w.w_start AND s.start_s <= w.w_end GROUP BY ALL""")
 def expand_join(spark, d):
-    """Every overlap, ends included; windows from one segment in five."""
-    seg = S.segments(spark, d)
-    return _expanded(seg, _widened(seg.filter("idx % 5 = 2")))
-
-
-@query(_overlaps(_ALL))
-def expand_join_all(spark, d):
-    """J6, windows from every segment."""
+    """Every overlap, ends included; windows from every segment."""
     seg = S.segments(spark, d)
-    return _expanded(seg, _widened(seg))
-
-
-_RANGES = f"""WITH {SEG}, w AS (SELECT video_id, idx AS first_idx, idx + 3 AS last_idx FROM seg WHERE idx % 6 = 0)
-SELECT w.video_id, w.first_idx, count(*) AS n, string_agg(s.text, ' ' ORDER BY s.idx) AS text FROM w JOIN seg s ON s.video_id = w.video_id AND s.idx BETWEEN w.first_idx AND w.last_idx GROUP BY ALL"""
-
-
-def _ranged(seg, first):
-    w = first.select("video_id", F.col("idx").alias("first_idx"), F.explode(F.sequence(F.col("idx"), F.col("idx") + 3)).alias("idx"))
-    return w.join(seg, ["video_id", "idx"]).groupBy("video_id", "first_idx").agg(F.count("*").alias("n"), F.array_join(ordered_texts(), " ").alias("text"))
+    return O.overlap_join(_widened(seg), seg.drop("text"), ["video_id"]).groupBy("video_id", "win").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
 
 
-@query(_RANGES)
+@query(f"""WITH {SEG}, w AS (SELECT video_id, idx AS first_idx, idx + 3 AS last_idx FROM seg)
+SELECT w.video_id, w.first_idx, count(*) AS n, string_agg(s.text, ' ' ORDER BY s.idx) AS text FROM w JOIN seg s ON s.video_id = w.video_id AND s.idx BETWEEN w.first_idx AND w.last_idx GROUP BY ALL""")
 def index_range_join(spark, d):
-    """A window's segments between its first and last hit; windows from one segment in six."""
-    seg = S.segments(spark, d)
-    return _ranged(seg, seg.filter("idx % 6 = 0"))
-
-
-@query(_RANGES.replace(" WHERE idx % 6 = 0", ""))
-def index_range_join_all(spark, d):
-    """J7, windows from every segment."""
+    """A window's segments between its first and last hit; a window from every segment to the third after it."""
     seg = S.segments(spark, d)
-    return _ranged(seg, seg)
+    w = seg.select("video_id", F.col("idx").alias("first_idx"), F.explode(F.sequence(F.col("idx"), F.col("idx") + 3)).alias("idx"))
+    return w.join(seg, ["video_id", "idx"]).groupBy("video_id", "first_idx").agg(F.count("*").alias("n"), F.array_join(ordered_texts(), " ").alias("text"))
 
 
 @query("""WITH RECURSIVE o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, turn, ceil(length(text) / 3.5)::BIGINT + 2 AS cost FROM conversations),
@@ -210,28 +169,15 @@ def asof_event(spark, d):
     return O.asof_backward(orders, events, ["user_id"], "at", "ts", "event_id").select("o_orderkey", "o_custkey", "event_id")
 
 
-_FRAMES = f"""WITH {THUMB}, f AS (SELECT video_id, t, frame_id FROM thumb WHERE t % 7 = 3),
+@query(f"""WITH {THUMB}, f AS (SELECT video_id, t * 7 + 3 AS t, frame_id FROM thumb),
 p AS (SELECT video_id, t + 0.5::DOUBLE AS pts FROM thumb), m AS (SELECT p.video_id, p.pts, f.frame_id, f.t FROM p ASOF LEFT JOIN f ON p.video_id = f.video_id AND p.pts >= f.t)
-SELECT video_id, pts, CASE WHEN pts - t <= 4 THEN frame_id END AS frame_id FROM m"""
-
-
-def _shown_at(thumbs, frames):
-    at = thumbs.select("video_id", (F.col("t") + F.lit(0.5)).cast("double").alias("pts"))
-    return O.asof_backward(at, frames, ["video_id"], "pts", "t", "frame_id", 4.0).select("video_id", "pts", "frame_id")
-
-
-@query(_FRAMES)
+SELECT video_id, pts, CASE WHEN pts - t <= 4 THEN frame_id END AS frame_id FROM m""")
 def asof_frame(spark, d):
-    """Within a tolerance, to one thumbnail in seven."""
-    thumbs = S.thumbnails(spark, d)
-    return _shown_at(thumbs, thumbs.filter("t % 7 = 3"))
-
-
-@query(_FRAMES.replace(" WHERE t % 7 = 3", ""))
-def asof_frame_all(spark, d):
-    """J8, to every thumbnail."""
+    """Within a tolerance, to frames seven seconds apart."""
     thumbs = S.thumbnails(spark, d)
-    return _shown_at(thumbs, thumbs)
+    at = thumbs.select("video_id", (F.col("t") + F.lit(0.5)).cast("double").alias("pts"))
+    frames = thumbs.select("video_id", (F.col("t") * 7 + 3).alias("t"), "frame_id")
+    return O.asof_backward(at, frames, ["video_id"], "pts", "t", "frame_id", 4.0).select("video_id", "pts", "frame_id")
 
 
 @query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
@@ -262,6 +208,6 @@ def context_text(spark, d):
     """The assembled text within 400 tokens, with frames."""
     seg = S.segments(spark, d)
     facts = seg.groupBy("video_id").agg(F.max("end_s").alias("duration")).select("video_id", F.concat(F.lit("document "), "video_id").alias("name"), "duration", F.lit("en").alias("language"), F.lit("complete").alias("status"), F.col("duration").alias("indexed_until"))
-    frames = S.thumbnails(spark, d).filter("t % 5 = 0").select("video_id", F.col("t").cast("double").alias("t"), "frame_id")
+    frames = S.thumbnails(spark, d).select("video_id", F.col("t").cast("double").alias("t"), "frame_id")
     out = X.assemble(X.passages(seg, PARSED), facts, PARSED, X.ContextOptions(max_tokens=400), frames=frames)
     return out.withColumn("segments", F.array_join("segments", " ")).withColumn("frames", F.array_join("frames", " "))

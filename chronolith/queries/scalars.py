@@ -36,10 +36,13 @@ def unassigned_rows(spark, d):
     return S.table(spark, d, "documents").join(S.table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", "lang")
 
 
-@query("SELECT conv_id, turn, trim(text) AS text FROM conversations WHERE length(trim(text)) > 0")
+@query(f"""WITH x AS (SELECT conv_id, turn, chr(160) || text || chr(9) || chr(8195) AS text FROM conversations UNION ALL SELECT conv_id, turn, chr(9) || chr(12288) FROM conversations)
+SELECT conv_id, turn, regexp_replace(text, '^[{T.BLANKS}]+|[{T.BLANKS}]+$', '', 'g') AS text FROM x WHERE NOT regexp_full_match(text, '[{T.BLANKS}]*')""")
 def strip_and_drop_empty(spark, d):
-    """P5."""
-    return S.table(spark, d, "conversations").select("conv_id", "turn", F.trim("text").alias("text")).filter(F.length("text") > 0)
+    """P5: blanks of any script at both ends go, and texts of nothing else."""
+    turns = S.table(spark, d, "conversations").select("conv_id", "turn", "text")
+    rows = turns.withColumn("text", F.concat(F.lit("\u00a0"), "text", F.lit("\t\u2003"))).unionByName(turns.withColumn("text", F.lit("\t\u3000")))
+    return rows.withColumn("text", T.strip(F.col("text"))).filter(F.length("text") > 0)
 
 
 @query("SELECT event_id, round_even(exp(-value / 100) * 10000, 0) / 10000 AS confidence, CASE WHEN event_type = 'error' THEN NULL ELSE round_even(value * 10, 0) / 10000 END AS no_speech FROM events")

@@ -232,18 +232,12 @@ def _assigned(spark, d, windows):
     return asof_backward(q, begins, ["stream_id"], "t", "begin_s", "pack").filter("pack is not null").select("stream_id", "w", "pack")
 
 
-_ASSIGNED = f"""WITH RECURSIVE {_PACKS}, q AS (SELECT stream_id, w, w * 512 / 16000.0::DOUBLE AS t FROM speech WHERE w % 10 = 0), off AS (SELECT stream_id, pack, min(start_sample) / 16000.0::DOUBLE AS begin_s FROM packed GROUP BY ALL)
+_ASSIGNED = f"""WITH RECURSIVE {_PACKS}, q AS (SELECT stream_id, w, w * 512 / 16000.0::DOUBLE AS t FROM speech), off AS (SELECT stream_id, pack, min(start_sample) / 16000.0::DOUBLE AS begin_s FROM packed GROUP BY ALL)
 SELECT q.stream_id, q.w, max(off.pack) AS pack FROM q JOIN off ON off.stream_id = q.stream_id AND off.begin_s <= q.t + 0.001 GROUP BY ALL"""
 
 
 @query(_ASSIGNED)
 def batch_assignment(spark, d):
-    """J11 for one window in ten."""
-    return _assigned(spark, d, S.speech_windows(spark, d).filter("w % 10 = 0"))
-
-
-@query(_ASSIGNED.replace(" WHERE w % 10 = 0", ""))
-def batch_assignment_all(spark, d):
     """Results of a batch, every window, to the pack that begins last before them, with a millisecond of slack."""
     return _assigned(spark, d, S.speech_windows(spark, d))
 

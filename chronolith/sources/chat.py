@@ -81,8 +81,10 @@ class ChatModel:
                     raise ModelError(text[:500], e.code) from e
                 wait = e.headers.get("Retry-After")
                 time.sleep(min(LONGEST_WAIT, float(wait) if wait and wait.replace(".", "", 1).isdigit() else 2.0**attempt))
-            except urllib.error.URLError as e:
-                raise ModelError(str(e.reason)) from e
+            except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
+                if attempt == RETRIES:
+                    raise ModelError(str(getattr(e, "reason", e))) from e
+                time.sleep(2.0**attempt)
         raise AssertionError
 
     def complete(self, messages: list[dict], *, max_tokens: int, tools: list[dict] | None = None, tool_choice: str | None = None) -> Reply:
@@ -100,7 +102,10 @@ class ChatModel:
             self.limit_name = "max_tokens"
             body["max_tokens"] = body.pop("max_completion_tokens")
             got = self._post(body)
-        message = got["choices"][0]["message"]
+        choice = got["choices"][0]
+        message = choice["message"]
+        if choice.get("finish_reason") == "length" and not message.get("content") and not message.get("tool_calls"):
+            raise ModelError(f"the model used up its {max_tokens} tokens before it answered")
         calls = tuple(Call(c["id"], c["function"]["name"], parse_arguments(c["function"].get("arguments"))) for c in message.get("tool_calls") or ())
         return Reply(message.get("content") or "", calls, got.get("usage") or {})
 

@@ -8,6 +8,8 @@ created atomically.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +31,23 @@ class RunStore:
         path = self.hadoop.Path(f"{self.path}/{name}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def lock(self) -> None:
+    def lock(self, stale_seconds: float | None = None) -> None:
+        """Takes the run.  A lock that its writer has not renewed for `stale_seconds` is that of a dead one, and is taken over."""
         files, path = self._files("writer.lock")
+        if stale_seconds is not None and files.exists(path):
+            age = time.time() - files.getFileStatus(path).getModificationTime() / 1000
+            if age > stale_seconds:
+                # Of several that see it, one renames it away.
+                aside = self._files(f"stale-{uuid.uuid4().hex}.lock")[1]
+                if files.rename(path, aside):
+                    files.delete(aside, False)
         if not files.createNewFile(path):
             raise Locked(self.path)
 
+    def renew(self) -> None:
+        files, path = self._files("writer.lock")
+        files.setTimes(path, int(time.time() * 1000), -1)
+
     def unlock(self) -> None:
         files, path = self._files("writer.lock")
         files.delete(path, False)
@@ -50,10 +64,16 @@ class RunStore:
         return self.spark.read.option("basePath", f"{self.path}/rows").parquet(*done)
 
     def write(self, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+        """Commits a stream.  ST12: what a micro-batch may take is for its source to say (source_options())."""
         writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda rows, n: self.commit(rows, n))
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def source_options(files: int | None = None, size: str | None = None) -> dict[str, str]:
+    """ST12: options of a file source, so that a reader that falls behind takes at most so much at a time."""
+    return {k: str(v) for k, v in (("maxFilesPerTrigger", files), ("maxBytesPerTrigger", size)) if v is not None}
+
+
 class Progress(StreamingQueryListener):
     """U6, ST8: calls back with (batch, rows) after each micro-batch, idle ones included."""
 

@@ -64,8 +64,11 @@ class Timelines:
         return Q.search(self.transcript(), {0: Query.parse(query)}, Q.SearchOptions(**options)).drop("query_id")
 
     def context(self, query: str, options: X.ContextOptions = X.ContextOptions(), counter: X.TokenCounter = X.count_tokens) -> DataFrame:
+        return self._context(self.transcript(), query, options, counter)
+
+    @staticmethod
+    def _context(rows: DataFrame, query: str, options: X.ContextOptions, counter: X.TokenCounter = X.count_tokens) -> DataFrame:
         parsed = {0: Query.parse(query)}
-        rows = self.transcript()
         facts = rows.groupBy("video_id").agg(F.max("end_s").alias("duration")).select("video_id", F.col("video_id").cast("string").alias("name"), "duration", F.lit(None).cast("string").alias("language"), F.lit("complete").alias("status"), F.col("duration").alias("indexed_until"))
         return X.assemble(X.passages(rows, parsed, options), facts, parsed, options, counter).drop("query_id")
 
@@ -83,7 +86,7 @@ class Timelines:
         own = self.transcript().filter(F.col("video_id") == video_id)
 
         def retrieved() -> str:
-            rows = self.context(question, X.ContextOptions(max_tokens=evidence_tokens)).filter(F.col("video_id") == video_id).collect()
+            rows = self._context(own, question, X.ContextOptions(max_tokens=evidence_tokens)).collect()
             return rows[0]["text"] if rows else "No transcript passages matched this query."
 
         full = export.to_text(own).first()

@@ -46,6 +46,42 @@ def test_last_turn_may_not_call():
     assert [o["tool_choice"] for _, o in m.seen] == ["auto", "auto", "none"]
 
 
+def test_calls_end_when_views_run_out():
+    look = chat.Call("1", "look", {"times": [1, 2, 3]})
+    zoom = chat.Call("2", "zoom", {"time": 2, "box": [0.5, 0.5, 0.25, 0.25]})
+    bad = chat.Call("3", "zoom", {"time": 2, "box": [0.5, 0.5, 0, 0]})
+    boxes = []
+    tools = Toolbox(lambda q: "", lambda a, b: "", lambda ts: {f"view {t}": "data:" for t in ts}, lambda t, box: boxes.append((t, box)) or {"part": "data:"})
+    m = Scripted(chat.Reply("", (look, zoom, bad)), chat.Reply("seen", (look,)))
+    out = explore(m, "q", "o", tools, max_views=4)
+    assert out.text == "seen" and out.views == ["view 1.0", "view 2.0", "view 3.0", "part"] and boxes == [(2.0, (0.5, 0.5, 0.25, 0.25))]
+    assert [o["tool_choice"] for _, o in m.seen] == ["auto", "none"] and "empty box" in m.seen[1][0][-2]["content"]
+    assert [t["function"]["name"] for t in m.seen[0][1]["tools"]] == ["search", "read", "look", "zoom"]
+
+
+def test_an_answer_that_was_never_reached_is_an_error(monkeypatch):
+    m = chat.openai("k", "m", "http://x.test")
+    monkeypatch.setattr(m, "_post", lambda body: {"choices": [{"finish_reason": "length", "message": {"content": ""}}]})
+    with pytest.raises(chat.ModelError, match="used up"):
+        m.complete([], max_tokens=5)
+
+
+def test_connections_are_tried_again(monkeypatch):
+    import urllib.error
+
+    tried = []
+
+    def fail(*_, **__):
+        tried.append(1)
+        raise urllib.error.URLError("refused")
+
+    monkeypatch.setattr(chat.urllib.request, "urlopen", fail)
+    monkeypatch.setattr(chat.time, "sleep", lambda _: None)
+    with pytest.raises(chat.ModelError, match="refused"):
+        chat.openai("k", "m", "http://x.test").complete([], max_tokens=5)
+    assert len(tried) == chat.RETRIES + 1
+
+
 def test_arguments_that_are_no_object():
     assert chat.parse_arguments("[1]") == {} == chat.parse_arguments("{") and chat.parse_arguments('{"a": 1}') == {"a": 1}
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from chronolith.operators import speech as S
 from chronolith.operators.chunks import chunks
+from chronolith.operators.frames import select_frames
 from chronolith.sources import media as M
 from chronolith.streaming import operators as O
-from chronolith.streaming.sinks import Locked, Progress, RunStore
+from chronolith.streaming.sinks import Locked, Progress, RunStore, source_options
 
 
 def as_stream(spark, df, path, order, n=4):
@@ -46,6 +47,67 @@ def test_region_stream(spark, tmp_path):
     assert sorted(map(tuple, store.read().select("region", "start_sample", "end_sample").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_pack_stream(spark, tmp_path):
+    """Packs as in the batch; with marks of how far sound was heard, an open pack goes as soon as it can."""
+    regs = [(1, i, 40_000 * i + (200_000 if i > 12 else 0), 40_000 * i + 30_000 + (200_000 if i > 12 else 0), i == 29) for i in range(30)]
+    df = spark.createDataFrame(regs, "stream_id long, region long, start_sample long, end_sample long, last boolean")
+    store = finish(spark, O.stream_packs(as_stream(spark, df, str(tmp_path / "in"), "region", 3)), tmp_path)
+    batch = S.packs(df.drop("last")).groupBy("stream_id", "pack").agg(F.min("start_sample"), F.max("end_sample"), F.count("*").cast("int"), F.sum(F.col("end_sample") - F.col("start_sample")))
+    names = ["stream_id", "pack", "start_sample", "end_sample", "regions", "samples"]
+    assert sorted(map(tuple, store.read().select(names).collect())) == sorted(map(tuple, batch.collect()))
+    marked = df.withColumn("position", F.col("end_sample") + 200_000).withColumn("frontier", F.col("end_sample") + F.lit(100_000))
+    early = finish(spark, O.stream_packs(as_stream(spark, marked, str(tmp_path / "marked"), "region", 3)), tmp_path / "early")
+    assert early.read().count() == 30  # nothing joins a region that heard 100,000 samples of silence after it
+
+
+def test_frame_stream(spark, tmp_path):
+    import numpy as np
+
+    rng = [np.random.default_rng(s).integers(0, 255, 64) for s in range(6)]
+    rows = [(v, i / 2, i, [int(x) for x in rng[(i // 20 + v) % 6]], i == 119) for v in (1, 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "video_id long, t double, frame_id long, pixels array<int>, last boolean")
+    store = finish(spark, O.stream_frames(as_stream(spark, df, str(tmp_path / "in"), "t", 3), 8, "screen"), tmp_path)
+    want = select_frames(df.drop("last"), 8, "screen").select("video_id", "frame_id", "t", "reason").collect()
+    assert len(want) > 6 and sorted(map(tuple, store.read().select("video_id", "frame_id", "t", "reason").collect())) == sorted(map(tuple, want))
+
+
+def test_stream_goes_on_after_a_stop(spark, tmp_path):
+    """Two runs of one query from one checkpoint give what a single one gives; a row that comes too late is an error."""
+    segs = [(1, i, 4.0 * i, 4.0 * i + 3.5, "go on." if i % 3 == 0 else "and", i == 29) for i in range(30)]
+    df = spark.createDataFrame(segs, "video_id long, idx long, start_s double, end_s double, text string, last boolean")
+    store, at = RunStore(spark, str(tmp_path / "run")), str(tmp_path / "in")
+    for k, part in enumerate((df.filter("idx < 11"), df.filter("idx >= 11"))):
+        part.coalesce(1).write.parquet(f"{at}/{k}")
+        source = spark.readStream.schema(df.schema).options(**source_options(files=1)).parquet(f"{at}/*")
+        store.write(O.stream_chunks(source), str(tmp_path / "check")).awaitTermination()
+    names = ["start_s", "end_s", "text", "first_segment", "last_segment"]
+    assert sorted(map(tuple, store.read().select(names).collect())) == sorted(map(tuple, chunks(df.drop("last")).select(names).collect()))
+    late = [x[:5] + (False,) for x in segs]
+    first, then = (spark.createDataFrame(x, df.schema) for x in (late[5:9], late[2:3]))
+    for k, part in enumerate((first, then)):
+        part.coalesce(1).write.parquet(f"{at}-late/{k}")
+        source = spark.readStream.schema(df.schema).parquet(f"{at}-late/*")
+        q = RunStore(spark, str(tmp_path / "late")).write(O.stream_chunks(source), str(tmp_path / "check-late"))
+        if k == 0:
+            q.awaitTermination()
+        else:
+            with pytest.raises(Exception, match="came after"):
+                q.awaitTermination()
+
+
+def test_stale_locks_are_taken_over(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "run"))
+    store.lock()
+    os.utime(tmp_path / "run" / "writer.lock", (1_000_000, 1_000_000))
+    store.renew()
+    with pytest.raises(Locked):
+        store.lock(stale_seconds=3600)
+    os.utime(tmp_path / "run" / "writer.lock", (1_000_000, 1_000_000))
+    store.lock(stale_seconds=3600)
+    with pytest.raises(Locked):
+        store.lock(stale_seconds=3600)
+
+
 def test_commits_are_idempotent_and_locked(spark, tmp_path):
     store = RunStore(spark, str(tmp_path / "run"))
     with pytest.raises(FileNotFoundError):

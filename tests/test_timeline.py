@@ -1,5 +1,6 @@
 """Search, passages, chunks, speech, packs, frames: fixed cases and plain versions of the rules."""
 
+import pickle
 import random
 import sqlite3
 
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from chronolith.operators import postings as P
 from chronolith.operators import speech as S
-from chronolith.operators.chunks import Chunker, ChunkRules, chunks
-from chronolith.operators.frames import FrameSelector, hash_code, pick_frames, select_frames
+from chronolith.functions import text as T
+from chronolith.operators.chunks import ChunkRules, Pending, chunk_step, chunks, closed
+from chronolith.operators.frames import Frame, FrameWatch, hash_code, pick_frames, select_frames, throttle
 from chronolith.operators.runs import best_run
 from chronolith.operators.windows import asof_backward, even_indices
 from chronolith.plans import context as X
@@ -57,13 +59,20 @@ def test_bm25_is_fts5_s(spark):
             assert r["score"] == pytest.approx(want[r["idx"]], abs=1e-9)
 
 
+def fold_chunks(segs, held=Pending(), rules=ChunkRules()):
+    out = []
+    for x in segs:
+        held, done = chunk_step(held, x, rules)
+        out += done
+    return held, out
+
+
 def plain_chunks(segs, rules=ChunkRules()):
-    c = Chunker(rules)
-    out = [x for s in segs for x in c.add(*s)]
-    return out + c.flush()
+    held, out = fold_chunks(segs, rules=rules)
+    return out + closed(held)
 
 
-def test_chunks_in_plan_are_the_chunker_s(spark):
+def test_chunks_in_plan_are_those_of_the_steps(spark):
     random.seed(7)
     segs, t = [], 0.0
     for i in range(400):
@@ -76,12 +85,11 @@ def test_chunks_in_plan_are_the_chunker_s(spark):
     assert [i for a, b, *_ in got for i in range(a, b + 1)] == list(range(400))
 
 
-def test_chunker_resumes():
+def test_chunks_resume():
     segs = [(i, 4.0 * i, 4.0 * i + 3.5, "go on." if i % 3 == 0 else "and") for i in range(50)]
-    c = Chunker()
-    first = [x for s in segs[:23] for x in c.add(*s)]
-    again = Chunker(pending=list(c.pending))
-    assert first + [x for s in segs[23:] for x in again.add(*s)] + again.flush() == plain_chunks(segs)
+    held, first = fold_chunks(segs[:23])
+    held, more = fold_chunks(segs[23:], pickle.loads(pickle.dumps(held)))
+    assert first + more + closed(held) == plain_chunks(segs)
 
 
 def test_pause_ends_a_chunk():
@@ -132,33 +140,127 @@ def test_regions_in_plan(spark):
     assert [(r["start_sample"], r["end_sample"]) for r in got] == want * 2
 
 
-def test_packs_in_plan_are_the_packer_s(spark):
+def plain_regions(p, r=S.SpeechRules()):
+    """The rule window by window, as the survey states it, with 0 for what is not set."""
+    spans, on, start, hush, cut, resume = [], False, 0, 0, 0, 0
+    for i, x in enumerate(p):
+        now = 512 * i
+        if x >= r.threshold and hush:
+            hush = 0
+            if resume < cut:
+                resume = now
+        if x >= r.threshold and not on:
+            on, start = True, now
+            continue
+        if on and now - start > 16 * 1000 * r.max_region - 512 - 2 * 16 * r.padding:
+            if not cut:
+                spans.append((start, now))
+                on, hush, cut, resume = False, 0, 0, 0
+                continue
+            spans.append((start, cut))
+            on, start = (False, start) if resume < cut else (True, resume)
+            hush = cut = resume = 0
+        if on and x < max(r.threshold - 0.15, 0.01):
+            hush = hush or now
+            if now - hush > 98 * 16:
+                cut = hush
+            if now - hush >= 16 * r.min_silence:
+                if hush - start > 16 * r.min_speech:
+                    spans.append((start, hush))
+                on, hush, cut, resume = False, 0, 0, 0
+    if on and 512 * len(p) - start > 16 * r.min_speech:
+        spans.append((start, 512 * len(p)))
+    return spans
+
+
+def test_spans_are_those_of_the_rule():
+    rng = np.random.default_rng(8)
+    for k in range(60):
+        rules = S.SpeechRules(max_region=float(rng.choice([2.0, 5.0, 28.0])))
+        values = rng.choice([0.05, 0.3, 0.34, 0.36, 0.45, 0.5, 0.9], 120, p=[0.2, 0.1, 0.1, 0.1, 0.1, 0.1, 0.3])
+        p = np.repeat(values, rng.integers(1, 40 if k % 2 else 6, 120)).tolist()
+        found = []
+        d = S.SpeechDetector(rules)
+        d._join = lambda a, b: found.append((a, b))
+        d.feed(p)
+        d.finish()
+        assert found == plain_regions(p, rules)
+
+
+def test_nothing_begins_before_the_frontier():
+    rng = np.random.default_rng(4)
+    p = np.repeat(rng.random(200), rng.integers(1, 40, 200)).tolist()
+    d, marks, found = S.SpeechDetector(), [], []
+    for at in range(0, len(p), 13):
+        found += [(len(marks), x) for x in d.feed(p[at : at + 13])]
+        marks.append(d.frontier)
+    found += [(len(marks), x) for x in d.finish()]
+    assert marks == sorted(marks) and max(marks) > 0 and all(start >= m for k, (start, _) in found for m in marks[:k])
+
+
+def plain_packs(regs, rules=S.PackRules()):
+    held, out = S.Pack(), []
+    for a, b in regs:
+        held, done = S.pack_step(held, a, b, rules)
+        out += [list(done)] if done else []
+    return out + ([list(held.regions)] if held.regions else [])
+
+
+def test_packs_in_plan_are_those_of_the_steps(spark):
     random.seed(3)
     t, regs = 0, []
     for i in range(70):
         n = random.randint(4000, 90_000)
         regs.append((i, t, t + n))
         t += n + random.choice([1000, 20_000, 60_000])
-    packer, want = S.Packer(), []
-    for _, a, b in regs:
-        want += packer.add(a, b)
-    want += packer.flush()
     df = spark.createDataFrame([(1, *r) for r in regs], "stream_id long, region int, start_sample long, end_sample long")
     got: dict = {}
     for r in S.packs(df).orderBy("region").collect():
         got.setdefault(r["pack"], []).append((r["start_sample"], r["end_sample"]))
-    assert [got[k] for k in sorted(got)] == want
+    assert [got[k] for k in sorted(got)] == plain_packs([x[1:] for x in regs])
 
 
 def test_first_pack_is_short():
-    p, out = S.Packer(join_gap=5.0), []
-    for i in range(70):
-        out += p.add(2 * i * S.RATE, (2 * i + 1) * S.RATE)
-    out += p.flush()
+    out = plain_packs([(2 * i * S.RATE, (2 * i + 1) * S.RATE) for i in range(70)], S.PackRules(join_gap=5.0))
     sizes = [sum(b - a for a, b in x) / S.RATE for x in out]
     assert sizes[0] == 10 and max(sizes) <= 30 and sum(sizes) == 70
 
 
+def test_open_packs_are_due():
+    held, _ = S.pack_step(S.Pack(), 0, 5 * S.RATE)
+    assert S.pack_due(held, 7 * S.RATE, 7 * S.RATE) == (held, ())
+    assert S.pack_due(held, 9 * S.RATE, 9 * S.RATE) == (S.Pack(out=1), ((0, 5 * S.RATE),))
+    assert S.pack_due(held, 120 * S.RATE, 6 * S.RATE)[1] and not S.pack_due(S.Pack(), 10**9, 10**9)[1]
+
+
+def test_late_pieces_go_and_gaps_are_filled(spark):
+    random.seed(9)
+    at, rows = 0.0, []
+    for i in range(300):
+        at += random.choice([1.0, 1.0, 1.0, 1.05, 1.5, 0.2, 0.95])
+        rows.append((1, i, at, 1.0))
+    due, want = None, []
+    for _, i, a, d in rows:
+        drift = 0.0 if due is None else a - due
+        if drift >= -0.1:
+            want.append((i, round(drift if drift > 0.1 else 0.0, 9)))
+            due = a + d
+    got = S.align(spark.createDataFrame(rows, "stream_id long, seq long, at double, dur double")).orderBy("seq").collect()
+    assert [(r["seq"], round(r["gap"], 9)) for r in got] == want
+
+
+def test_throttle(spark):
+    random.seed(10)
+    ts = sorted({round(random.random() * 60, 3) for _ in range(500)} | {100.0, 101.0, 102.5})
+    due, want = None, []
+    for t in ts:
+        if due is None or t >= due - 1e-6:
+            want.append(t)
+            due = t + 1 / 0.8
+    df = spark.createDataFrame([(v, t) for v in (1, 2) for t in ts], "video_id long, t double")
+    assert [r["t"] for r in throttle(df, 0.8).filter("video_id = 1").orderBy("t").collect()] == want
+
+
 def packed(spark, spans):
     at, parts = 0.0, []
     for a, b in spans:
@@ -193,9 +295,24 @@ def test_frames_a_b_a_keeps_two(spark):
 
 
 def test_static_picture_is_one_frame():
-    s = FrameSelector("auto")
+    s = FrameWatch("auto")
     p = np.arange(64)
-    assert [x for i in range(100) if (x := s.feed(i / 2, p, hash_code(p, 8), i))] == [(0, 0.0, "start")]
+    assert [x for i in range(100) if (x := s.see(Frame(i / 2, p, hash_code(p, 8), i)))] == [(0, 0.0, "start")]
+
+
+def test_cap_of_frames(spark):
+    rng = np.random.default_rng(2)
+    rows = [(1, float(2 * i), i, [int(v) for v in rng.integers(0, 255, 64)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "video_id long, t double, frame_id long, pixels array<int>")
+    assert [select_frames(df, 8, "interval", 1.0, most).count() for most in (7, 1000)] == [7, 30]
+    with pytest.raises(ValueError):
+        select_frames(df, 8, "guess")
+
+
+def test_strip_takes_blanks_of_any_script(spark):
+    texts = ["\u00a0 a\tb \u3000", "\x1c\u2003", "", "x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(T.strip(F.col("t"))).collect()] == [t.strip() for t in texts]
 
 
 def test_even_indices(spark):

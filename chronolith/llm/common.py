@@ -53,7 +53,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     files, at = _path(spark, path)
     files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
@@ -82,11 +82,17 @@ def payload(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes, so that what Python makes of a batch stays small."""
-    for b in batches:
-        rows = max(1, b.num_rows * most // max(1, b.nbytes))
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+    """The same rows in batches of about `most` bytes, so that what Python makes of a batch stays small.
+
+    A worker that waits for its next task keeps none of the memory that Arrow held for this one.
+    """
+    try:
+        for b in batches:
+            rows = max(1, b.num_rows * most // max(1, b.nbytes))
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
 
 
 def partitions(spark: SparkSession, size: int = 0, most: int = 64 << 20) -> int:

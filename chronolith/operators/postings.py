@@ -1,8 +1,8 @@
 """Inverted index and BM25 over many timelines at once.
 
 The corpus of a timeline is the timeline itself, so counts of documents and mean lengths are
-by video_id.  postings() can be stored partitioned by a hash of term, so that a query's
-terms prune files.
+by video_id.  placed() is the index to be stored: places of tokens, in buckets by the letters that
+every stem of theirs begins with, so that a query reads the buckets of its words and no others.
 """
 
 from __future__ import annotations
@@ -85,6 +85,50 @@ def corpus_stats(indexed: DataFrame) -> DataFrame:
     return indexed.groupBy("video_id").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
+BUCKETS = 64
+
+
+def bucket_of(term: Column) -> Column:
+    """The same for a word and for all stems that it begins with."""
+    return F.pmod(F.xxhash64(F.left(term, F.lit(T.SHORTEST_STEM))), F.lit(BUCKETS)).cast("int")
+
+
+def placed(indexed: DataFrame) -> DataFrame:
+    """A12, to be stored by bucket: video_id, idx, dl, term, places (from 0, ascending), bucket."""
+    each = indexed.select("video_id", "idx", "dl", F.posexplode("tokens").alias("place", "term"))
+    own = each.groupBy("video_id", "idx", "term").agg(F.first("dl").alias("dl"), F.array_sort(F.collect_list("place")).alias("places"))
+    return own.withColumn("bucket", bucket_of(F.col("term")))
+
+
+def stored_frequencies(stored: DataFrame, stats: DataFrame, queries: dict[int, Query]) -> DataFrame:
+    """unit_frequencies() of an index with stats, from placed() and corpus_stats() as they were stored: video_id, idx, dl, n_docs, avgdl, query_id, unit, tf."""
+    spark = stored.sparkSession
+    specs = [(q, u, kind, words) for q, query in queries.items() for u, (kind, words) in enumerate(query.units())]
+    words = sorted({w for *_, own in specs for w in own})
+    if not words:
+        return stored.limit(0).join(stats, "video_id").select("video_id", "idx", "dl", "n_docs", "avgdl", F.lit(0).alias("query_id"), F.lit(0).alias("unit"), F.lit(0).cast("long").alias("tf"))
+    buckets = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(bucket_of(F.col("w"))).distinct().collect()]
+    own = stored.filter(F.col("bucket").isin(buckets))
+    keys = ["video_id", "idx", "dl"]
+
+    def single(kind: str) -> list[Column]:
+        return [F.when((F.col("term") == w[0]) if k == "term" else F.startswith("term", F.lit(w[0])), F.struct(F.lit(q).alias("query_id"), F.lit(u).alias("unit"))) for q, u, k, w in specs if k == kind]
+
+    met = own.select(*keys, F.size("places").alias("n"), F.explode(F.array_compact(F.array(*single("term"), *single("prefix")).cast("array<struct<query_id:int,unit:int>>"))).alias("u"))
+    found = met.groupBy(*keys, "u").agg(F.sum("n").alias("tf")).select(*keys, "u.query_id", "u.unit", F.col("tf").cast("long").alias("tf"))
+    for q, u, _, run in (x for x in specs if x[2] == "phrase"):
+        at = own.filter(F.col("term").isin(run)).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("m")).filter(F.size("m") == len(set(run)))
+        begin = F.try_element_at("m", F.lit(run[0]))
+        for i, w in enumerate(run[1:], 1):
+            begin = F.array_intersect(begin, F.transform(F.try_element_at("m", F.lit(w)), _back(i)))
+        found = found.unionByName(at.select(*keys, F.lit(q).alias("query_id"), F.lit(u).alias("unit"), F.size(begin).cast("long").alias("tf")).filter("tf > 0"))
+    return found.join(stats, "video_id")
+
+
+def _back(i: int):
+    return lambda place: place - i
+
+
 def query_units(spark: SparkSession, queries: dict[int, Query]) -> DataFrame:
     rows = [(q, u, kind, words) for q, query in queries.items() for u, (kind, words) in enumerate(query.units())]
     return spark.createDataFrame(rows, "query_id int, unit int, kind string, words array<string>")

@@ -48,6 +48,16 @@ def candidates(segments: DataFrame, queries: dict[int, P.Query], options: Search
     return hits.withColumn("hit_rank", F.row_number().over(best)).filter(F.col("hit_rank") <= max(64, options.limit * options.candidates_per_result))
 
 
+def stored_candidates(stored: DataFrame, stats: DataFrame, segments: DataFrame, queries: dict[int, P.Query], options: SearchOptions = SearchOptions()) -> DataFrame:
+    """candidates() from a stored index: texts are read, and taken apart, for hits only."""
+    scores = P.bm25(P.stored_frequencies(stored, stats, queries))
+    own = segments.select("video_id", "idx", "start_s", "end_s", "text")
+    hits = scores.join(own, ["video_id", "idx"]).filter(in_range(options.start, options.end))
+    best = W.partitionBy(*KEYS).orderBy(F.desc(F.round("score", 9)), "idx")
+    top = hits.withColumn("hit_rank", F.row_number().over(best)).filter(F.col("hit_rank") <= max(64, options.limit * options.candidates_per_result))
+    return top.withColumn("tokens", T.tokens(F.col("text")))
+
+
 def _starts_with(stem: str):
     return lambda token: token.startswith(stem)
 
@@ -111,9 +121,13 @@ def ranked(windows: DataFrame, limit: int) -> DataFrame:
     return out.filter(F.col("rank") < limit)
 
 
-def search(segments: DataFrame, queries: dict[int, P.Query], options: SearchOptions = SearchOptions()) -> DataFrame:
-    """query_id, video_id, rank, start_s, end_s, score, text, segment_ids, matched for each result."""
-    best = ranked(scored_windows(candidates(segments, queries, options), queries, options), options.limit)
+def search(segments: DataFrame, queries: dict[int, P.Query], options: SearchOptions = SearchOptions(), hits: DataFrame | None = None) -> DataFrame:
+    """query_id, video_id, rank, start_s, end_s, score, text, segment_ids, matched for each result.
+
+    hits: candidates(), if they come from elsewhere, as from a stored index.
+    """
+    hits = candidates(segments, queries, options) if hits is None else hits
+    best = ranked(scored_windows(hits, queries, options), options.limit)
     best = best.select(*KEYS, "rank", "relative", "matched", "first_idx", "last_idx", "start_s", "end_s")
     own = segments.select("video_id", "idx", F.col("start_s"), F.col("end_s"), "text")
     if options.expand > 0:

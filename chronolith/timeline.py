@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import export
+from .operators import postings as P
 from .operators.chunks import ChunkRules, chunks
 from .operators.frames import select_frames
 from .operators.postings import Query
@@ -40,10 +41,13 @@ class Timelines:
             raise
 
     def index(self, segments: DataFrame, rules: ChunkRules = ChunkRules()) -> None:
-        """Stores segments, sorted by timeline and time so that files prune, and their chunks."""
+        """Stores segments, sorted by timeline and time so that files prune, their chunks, and the index that search reads."""
         ordered = segments.select("video_id", "idx", "start_s", "end_s", "text").repartition("video_id").sortWithinPartitions("video_id", "start_s")
         ordered.write.mode("overwrite").parquet(f"{self.path}/segments")
         chunks(self.transcript(), rules).write.mode("overwrite").parquet(f"{self.path}/chunks")
+        indexed = P.index(self.transcript().drop("start_s", "end_s"))
+        P.placed(indexed).repartition("bucket", "video_id").sortWithinPartitions("bucket", "term", "video_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        P.corpus_stats(indexed).write.mode("overwrite").parquet(f"{self.path}/stats")
 
     def index_frames(self, thumbs: DataFrame, width: int, strategy: str = "auto", interval: float = 10.0) -> None:
         if strategy != "off":
@@ -61,7 +65,9 @@ class Timelines:
 
     def search(self, query: str, **options) -> DataFrame:
         """Results of each timeline, best first: rank, start_s, end_s, score, text, segment_ids, matched."""
-        return Q.search(self.transcript(), {0: Query.parse(query)}, Q.SearchOptions(**options)).drop("query_id")
+        parsed, chosen = {0: Query.parse(query)}, Q.SearchOptions(**options)
+        hits = Q.stored_candidates(self._read("postings"), self._read("stats"), self.transcript(), parsed, chosen)
+        return Q.search(self.transcript(), parsed, chosen, hits).drop("query_id")
 
     def context(self, query: str, options: X.ContextOptions = X.ContextOptions(), counter: X.TokenCounter = X.count_tokens) -> DataFrame:
         return self._context(self.transcript(), query, options, counter)

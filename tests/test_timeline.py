@@ -2,6 +2,7 @@
 
 import pickle
 import random
+import re
 import sqlite3
 
 import numpy as np
@@ -17,6 +18,7 @@ from chronolith.operators.runs import best_run
 from chronolith.operators.windows import asof_backward, even_indices
 from chronolith.plans import context as X
 from chronolith.plans import search as Q
+from chronolith.timeline import Timelines
 
 SEG = "video_id long, idx long, start_s double, end_s double, text string"
 MANY = {
@@ -59,6 +61,20 @@ def test_bm25_is_fts5_s(spark):
             assert r["score"] == pytest.approx(want[r["idx"]], abs=1e-9)
 
 
+def test_stored_index_gives_the_same_results(spark, tmp_path):
+    random.seed(6)
+    words = "deploy deployed deployment database offline failed fail failing server Straße 部署 失败 the of and database".split()
+    seg = spark.createDataFrame([(v, i, 6.0 * i, 6.0 * i + 5, " ".join(random.choices(words, k=random.randint(1, 14)))) for v in range(5) for i in range(40)], SEG)
+    t = Timelines(spark, str(tmp_path))
+    t.index(seg)
+    for text, options in (("deployment failed", {}), ("database", {"limit": 3, "expand": 4.0}), ("部署失败", {}), ("the database of", {"start": 30.0, "end": 90.0}), ("strasse deploy", {}), ("nothing", {}), ("?!", {})):
+        want = Q.search(seg, {0: P.Query.parse(text)}, Q.SearchOptions(**options)).drop("query_id")
+        assert sorted(map(str, t.search(text, **options).collect())) == sorted(map(str, want.select(t.search(text, **options).columns).collect())), text
+    found = P.stored_frequencies(t._read("postings"), t._read("stats"), {0: P.Query.parse("database")})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#", plan), plan
+
+
 def fold_chunks(segs, held=Pending(), rules=ChunkRules()):
     out = []
     for x in segs:

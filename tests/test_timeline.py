@@ -316,6 +316,69 @@ def test_static_picture_is_one_frame():
     assert [x for i in range(100) if (x := s.see(Frame(i / 2, p, hash_code(p, 8), i)))] == [(0, 0.0, "start")]
 
 
+def plain_frames(rows, strategy, interval, most, bits):
+    """The rule of frame selection with lists of everything seen."""
+    rules = {"screen": (3.0, True, None, 0.0, 1.5), "scenes": (25.0, False, None, 0.0, 1.0), "interval": (float("inf"), False, interval, 0.0, 0.0), "auto": (12.0, True, interval, 1.5, 4.0)}
+    mad = lambda a, b: sum(abs(x - y) for x, y in zip(a, b)) / len(a)
+    code = lambda p: [p[i + 1] > p[i] for i in range(len(p) - 1) if i % 8 != 7]
+    steps, kept, out, shown, pending, before = [], [], [], None, None, None
+
+    def offer(t, i, p, why):
+        nonlocal shown
+        shown = p
+        alike = any(sum(x != y for x, y in zip(code(p), code(q))) <= bits and mad(p, q) <= 4.0 for _, q in kept[-8:])
+        if len(kept) < most and not (alike and why != "start"):
+            kept.append((t, p))
+            out.append((i, t, why))
+
+    for t, i, p in rows:
+        if before is not None:
+            steps.append(mad(p, before))
+        before = p
+        if shown is None:
+            offer(t, i, p, "start")
+        elif pending is not None:
+            if steps[-1] <= 1.5 or t - pending >= 4.0:
+                pending = None
+                offer(t, i, p, "change")
+        else:
+            last = sorted(steps[-30:])
+            still = len(last) >= 5 and (last[(len(last) - 1) // 2] + last[len(last) // 2]) / 2 < 0.6
+            change, settle, every, every_diff, gap = rules["screen" if strategy == "auto" and still else strategy]
+            away, waited = mad(p, shown), t - kept[-1][0]
+            if away >= change and waited >= gap:
+                if settle:
+                    pending = t
+                else:
+                    offer(t, i, p, "change")
+            elif every is not None and waited >= every and away >= every_diff:
+                offer(t, i, p, "interval")
+    if pending is not None:
+        offer(*rows[-1], "end")
+    return out
+
+
+@pytest.mark.parametrize("strategy", ["auto", "screen", "scenes", "interval"])
+def test_frames_are_those_of_the_rule(spark, strategy):
+    rng = np.random.default_rng(13)
+    rows, want = [], {}
+    for video in range(6):
+        p, t, own = rng.integers(0, 256, 64), 0.0, []
+        scenes = [rng.integers(0, 256, 64) for _ in range(4)]
+        for i in range(150):
+            t += float(rng.choice([0.5, 0.5, 1.0, 2.5]))
+            kind = rng.random()
+            p = scenes[rng.integers(4)] if kind < 0.08 else np.clip(p + rng.integers(-30, 31, 64), 0, 255) if kind < 0.25 else np.clip(p + rng.integers(-2, 3, 64), 0, 255) if kind < 0.5 else p
+            own.append((t, i, [int(v) for v in p]))
+        rows += [(video, *x) for x in own]
+        want[video] = plain_frames(own, strategy, 5.0, 20, 10)
+    df = spark.createDataFrame(rows, "video_id long, t double, frame_id long, pixels array<int>").repartition(3)
+    got = {v: [] for v in want}
+    for r in select_frames(df, 8, strategy, 5.0, 20).orderBy("video_id", "idx").collect():
+        got[r["video_id"]].append((r["frame_id"], r["t"], r["reason"]))
+    assert got == want and all(want.values())
+
+
 def test_cap_of_frames(spark):
     rng = np.random.default_rng(2)
     rows = [(1, float(2 * i), i, [int(v) for v in rng.integers(0, 255, 64)]) for i in range(30)]

@@ -22,6 +22,7 @@ from pyspark.sql.types import StringType
 
 RATE = 16_000
 MIB, PROBES, PROBE_BYTES = 1 << 20, 8, 64 << 10
+FILES = "path string, modificationTime timestamp, length long, content binary"
 PROBE = "path string, container string, duration double, size_bytes long, audio_streams array<struct<index:int,codec:string,sample_rate:int,channels:int,is_default:boolean>>, error string"
 
 

@@ -2,7 +2,7 @@
 
 K1, ST9: a micro-batch overwrites the folder of its own number, so a batch that is run again
 after a failure leaves one copy; the checkpoint says which numbers are done.  ST10: readers see
-whole batches only, those with a commit mark.  ST11: one writer a run, by a lock file that is
+whole batches only, those with a commit mark, which all tables of a batch share.  ST11: one writer a run, by a lock file that is
 created atomically.
 """
 
@@ -52,16 +52,28 @@ class RunStore:
         files, path = self._files("writer.lock")
         files.delete(path, False)
 
-    def commit(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/rows/batch_id={batch_id}")
-
-    def read(self) -> DataFrame:
-        """Rows of the batches with a commit mark."""
-        files, path = self._files("rows")
-        done = [str(s.getPath()) for s in (files.listStatus(path) if files.exists(path) else []) if files.exists(self.hadoop.Path(s.getPath(), "_SUCCESS"))]
+    def commit(self, tables: DataFrame | dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], batch_id: int) -> None:
+        """K1: writes tables (a single one is `rows`), then the mark that makes all of them visible at once.
+
+        A table may be a function of those written before it, which are then read, not computed again.
+        """
+        files, mark = self._files(f"commits/{batch_id}")
+        files.delete(mark, False)
+        written: dict[str, DataFrame] = {}
+        for name, rows in (tables if isinstance(tables, dict) else {"rows": tables}).items():
+            at = f"{self.path}/{name}/batch_id={batch_id}"
+            (rows(written) if callable(rows) else rows).write.mode("overwrite").parquet(at)
+            written[name] = self.spark.read.parquet(at)
+        files.create(mark, True).close()
+
+    def read(self, name: str = "rows") -> DataFrame:
+        """Rows of a table in the batches with a commit mark."""
+        files, path = self._files("commits")
+        marks = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+        done = [f"{self.path}/{name}/batch_id={n}" for n in sorted(marks) if n.isdigit()]
         if not done:
             raise FileNotFoundError(self.path)
-        return self.spark.read.option("basePath", f"{self.path}/rows").parquet(*done)
+        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*done)
 
     def write(self, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         """Commits a stream.  ST12: what a micro-batch may take is for its source to say (source_options())."""

@@ -20,8 +20,10 @@ from .operators.frames import select_frames
 from .operators.postings import Query
 from .plans import ask as A
 from .plans import context as X
+from .plans import ingest as G
 from .plans import search as Q
 from .sources.chat import Model
+from .streaming.sinks import RunStore
 
 
 class NotIndexed(LookupError):
@@ -53,6 +55,23 @@ class Timelines:
         if strategy != "off":
             select_frames(thumbs, width, strategy, interval).write.mode("overwrite").parquet(f"{self.path}/frames")
 
+    def run(self, config: G.IngestConfig) -> RunStore:
+        """The rows of one configuration; those of others are never mixed in."""
+        return RunStore(self.spark, f"{self.path}/runs/{config.key()}")
+
+    def ingest(self, folder: str, make: Callable[[], G.Recogniser], config: G.IngestConfig, pattern: str = "*", files: int = 64, stale_seconds: float | None = 3600.0) -> DataFrame:
+        """C11: hears the files of a folder that the run of this configuration does not have, and gives the run's segments.
+
+        A folder that was heard before costs a look at its names.  index() makes the segments searchable.
+        """
+        store = self.run(config)
+        store.lock(stale_seconds)
+        try:
+            G.ingest(self.spark, store, folder, make, config, pattern, files)
+        finally:
+            store.unlock()
+        return store.read("segments")
+
     def transcript(self, start: float | None = None, end: float | None = None) -> DataFrame:
         return self._read("segments").filter(Q.in_range(start, end))
 

@@ -84,9 +84,13 @@ class Timelines:
 
     def search(self, query: str, **options) -> DataFrame:
         """Results of each timeline, best first: rank, start_s, end_s, score, text, segment_ids, matched."""
-        parsed, chosen = {0: Query.parse(query)}, Q.SearchOptions(**options)
-        hits = Q.stored_candidates(self._read("postings"), self._read("stats"), self.transcript(), parsed, chosen)
-        return Q.search(self.transcript(), parsed, chosen, hits).drop("query_id")
+        return self.search_all({0: Query.parse(query)}, **options).drop("query_id")
+
+    def search_all(self, queries: dict[int, Query], **options) -> DataFrame:
+        """search() for several queries in one plan."""
+        chosen = Q.SearchOptions(**options)
+        hits = Q.stored_candidates(self._read("postings"), self._read("stats"), self.transcript(), queries, chosen)
+        return Q.search(self.transcript(), queries, chosen, hits)
 
     def context(self, query: str, options: X.ContextOptions = X.ContextOptions(), counter: X.TokenCounter = X.count_tokens) -> DataFrame:
         return self._context(self.transcript(), query, options, counter)

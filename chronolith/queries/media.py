@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -70,12 +73,47 @@ def pick_frames(spark, d):
     return O.pick_frames(frames, 12)
 
 
-@query()
+_KNOWN = "len(list_filter(keepers, lambda k: bit_count(xor(k.code, {code})) <= 2 AND " + _STEP.format(a="k.pixels", b="{pixels}") + " <= 4)) > 0"
+_POLICY = "CASE WHEN strategy = 'screen' OR strategy = 'auto' AND still THEN {} WHEN strategy = 'scenes' THEN {} WHEN strategy = 'interval' THEN {} ELSE {} END"
+_INF = "'inf'::DOUBLE"
+# One row a thumbnail and strategy: how it stands after that thumbnail.
+_SELECTED = f"""{THUMB}, g AS (SELECT unnest(['auto', 'screen', 'scenes', 'interval']) AS strategy),
+b AS (SELECT *, lag(pixels) OVER (PARTITION BY video_id ORDER BY t) AS prev, row_number() OVER (PARTITION BY video_id ORDER BY t) AS rn,
+  list_sum(list_transform(range(1, 64), lambda i: CASE WHEN pixels[i + 1] > pixels[i] THEN 1::BIGINT << (63 - i) ELSE 0 END))::BIGINT AS code FROM thumb),
+m AS (SELECT *, CASE WHEN prev IS NOT NULL THEN {_STEP.format(a="pixels", b="prev")} END AS moved FROM b),
+f AS (SELECT video_id, rn, t::DOUBLE AS t, frame_id, pixels, code, moved, count(moved) OVER w >= 5 AND coalesce(quantile_cont(moved, 0.5) OVER w, 0) < 0.6 AS still
+  FROM m WINDOW w AS (PARTITION BY video_id ORDER BY t ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+r AS (SELECT strategy, video_id, rn, t, frame_id, pixels, code, pixels AS shown, NULL::DOUBLE AS since, [{{'code': code, 'pixels': pixels}}] AS keepers, t AS kept_at, 'start' AS why, true AS kept FROM f, g WHERE rn = 1
+  UNION ALL SELECT strategy, video_id, rn, t, frame_id, pixels, code, CASE WHEN why IN ('change', 'interval') THEN pixels ELSE shown END, CASE WHEN why = 'wait' THEN t WHEN why = 'change' THEN NULL ELSE since END,
+    CASE WHEN kept THEN list_append(keepers, {{'code': code, 'pixels': pixels}})[-8:] ELSE keepers END, CASE WHEN kept THEN t ELSE kept_at END, why, kept
+  FROM (SELECT *, why IN ('change', 'interval') AND NOT ({_KNOWN.format(code="code", pixels="o.pixels")}) AS kept
+    FROM (SELECT *, CASE WHEN since IS NOT NULL THEN CASE WHEN moved <= 1.5 OR t - since >= 4 THEN 'change' ELSE '' END
+        WHEN away >= change AND t - kept_at >= gap THEN CASE WHEN settle THEN 'wait' ELSE 'change' END WHEN t - kept_at >= every AND away >= every_diff THEN 'interval' ELSE '' END AS why
+      FROM (SELECT r.strategy, f.*, r.shown, r.since, r.keepers, r.kept_at, {_STEP.format(a="f.pixels", b="r.shown")} AS away,
+          {_POLICY.format(3.0, 25.0, _INF, 12.0)} AS change, {_POLICY.format("true", "false", "false", "true")} AS settle, {_POLICY.format(_INF, _INF, 10.0, 10.0)} AS every,
+          {_POLICY.format(0.0, 0.0, 0.0, 1.5)} AS every_diff, {_POLICY.format(1.5, 1.0, 0.0, 4.0)} AS gap
+        FROM r JOIN f ON f.video_id = r.video_id AND f.rn = r.rn + 1)) o)),
+z AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY strategy, video_id ORDER BY rn DESC) = 1),
+k AS (SELECT strategy, video_id, rn, 0 AS closing, frame_id, t, why FROM r WHERE kept
+  UNION ALL SELECT strategy, video_id, rn, 1, frame_id, t, 'end' FROM z WHERE since IS NOT NULL AND NOT ({_KNOWN.format(code="code", pixels="z.pixels")})),
+selected AS (SELECT strategy, video_id, (row_number() OVER (PARTITION BY strategy, video_id ORDER BY rn, closing))::INTEGER AS idx, frame_id, t, why AS reason FROM k)"""
+
+
+def _selected(spark, d, strategies, **options):
+    thumbs = S.thumbnails(spark, d)
+    return reduce(DataFrame.unionByName, [O.select_frames(thumbs, 64, s, bits=2, **options).withColumn("strategy", F.lit(s)) for s in strategies])
+
+
+@query(f"WITH RECURSIVE {_SELECTED} SELECT * FROM selected")
 def frame_select(spark, d):
     """C7, for every strategy."""
-    thumbs = S.thumbnails(spark, d)
-    out = [O.select_frames(thumbs, 64, strategy, bits=2).withColumn("strategy", F.lit(strategy)) for strategy in ("auto", "screen", "scenes", "interval")]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    return _selected(spark, d, ("auto", "screen", "scenes", "interval"))
+
+
+@query(f"WITH RECURSIVE {_SELECTED} SELECT * FROM selected WHERE strategy IN ('scenes', 'interval') AND idx <= 4")
+def frame_cap(spark, d):
+    """No more frames than the cap, the earliest."""
+    return _selected(spark, d, ("scenes", "interval"), most=4)
 
 
 @query("""WITH s AS (SELECT page_id, 300 + (page_id * 37 % 3000)::INTEGER AS w, 200 + (page_id * 53 % 1500)::INTEGER AS h FROM pages),

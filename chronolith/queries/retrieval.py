@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import windows as O
@@ -203,7 +206,55 @@ def context_passages(spark, d):
     return found.select("query_id", "video_id", "rank", "w_start", "w_end", "start_s", "end_s", F.size("parts").cast("long").alias("n_segments"), "text")
 
 
-@query()
+def _clock(whole: str) -> str:
+    return f"CASE WHEN {whole} >= 3600 THEN ({whole} // 3600) || ':' || lpad(({whole} // 60 % 60)::VARCHAR, 2, '0') ELSE ({whole} // 60)::VARCHAR END || ':' || lpad(({whole} % 60)::VARCHAR, 2, '0')"
+
+
+def _tenths(t: str) -> str:
+    n = f"round_even({t} * 10, 0)::BIGINT"
+    return f"({_clock(f'({n} // 10)')} || '.' || ({n} % 10))"
+
+
+def _ids(parts: str) -> str:
+    return f"list_transform({parts}, lambda x: 'seg_' || lpad(x.idx::VARCHAR, 5, '0'))"
+
+
+_COST = "ceil(length({}) / 3.5)::BIGINT"
+_BLOCK = f"""'[' || {_tenths("parts[1].start_s")} || '–' || {_tenths("list_max(list_transform(parts, lambda x: x.end_s))")} || ' | ' || {_ids("parts")}[1]
+  || CASE WHEN len(parts) > 1 THEN '–' || {_ids("parts")}[-1] ELSE '' END || ']' || chr(10) || array_to_string(list_filter(list_transform(parts, lambda x: trim(x.text)), lambda x: x <> ''), ' ')"""
+_ASKED = f"CASE query_id {' '.join(f'WHEN {q} THEN ' + repr(x.text) for q, x in PARSED.items())} END"
+# What fits of the best passage, then whole passages by rank as long as they fit, in order of time; then frames.
+_CONTEXT = f"""{_PASSAGES},
+pass AS (SELECT query_id, video_id, rank, w_start, w_end, list({{'idx': idx, 'start_s': start_s, 'end_s': end_s, 'text': text}} ORDER BY idx) AS parts FROM own GROUP BY ALL),
+facts AS (SELECT video_id, round_even(max(end_s), 0)::BIGINT AS d FROM seg GROUP BY video_id),
+heads AS (SELECT query_id, video_id, 'VIDEO: document ' || video_id || chr(10) || 'DURATION: ' || {_clock("d")} || ' · LANGUAGE: en · TRANSCRIPT: complete' || chr(10) || 'QUERY: ' || {_ASKED} || chr(10) || chr(10) || '{X.INTRODUCTION}' AS head
+  FROM (SELECT DISTINCT query_id, video_id FROM pass) JOIN facts USING (video_id)),
+whole AS (SELECT *, 400 - {_COST.format("head")} AS room, {_BLOCK} AS block FROM pass JOIN heads USING (query_id, video_id)),
+parted AS (SELECT query_id, video_id, rank, parts, (w_start + w_end) / 2 AS middle, w_start AS begin, w_end AS finish, room, block, {_COST.format("block")} + 2 AS cost FROM whole
+  UNION ALL SELECT query_id, video_id, rank, parts, middle, parts[1].start_s, parts[-1].end_s, room, block, {_COST.format("block")} + 2 FROM (SELECT *, {_BLOCK} AS block
+    FROM (SELECT query_id, video_id, rank, middle, room, CASE WHEN abs(parts[1].start_s - middle) >= abs(parts[-1].end_s - middle) THEN parts[2:len(parts)] ELSE parts[1:len(parts) - 1] END AS parts
+      FROM parted WHERE cost > room AND len(parts) > 1))),
+ways AS (SELECT query_id, video_id, rank, any_value(room) AS room, max(cost) FILTER (n = 1) AS cost, min(cost) FILTER (cost <= room) AS part, row_number() OVER (PARTITION BY query_id, video_id ORDER BY rank) AS rn
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video_id, rank ORDER BY len(parts) DESC) AS n FROM parted) GROUP BY query_id, video_id, rank),
+picked AS (SELECT query_id, video_id, rank, rn, coalesce(part, 0) AS took, room - coalesce(part, 0) AS room, part IS NOT NULL AS some FROM ways WHERE rn = 1
+  UNION ALL SELECT w.query_id, w.video_id, w.rank, w.rn, CASE WHEN NOT p.some THEN coalesce(w.part, 0) WHEN w.cost <= p.room THEN w.cost ELSE 0 END,
+    p.room - CASE WHEN NOT p.some THEN coalesce(w.part, 0) WHEN w.cost <= p.room THEN w.cost ELSE 0 END, p.some OR w.part IS NOT NULL FROM picked p JOIN ways w ON w.query_id = p.query_id AND w.video_id = p.video_id AND w.rn = p.rn + 1),
+chosen AS (SELECT t.* FROM parted t JOIN picked p USING (query_id, video_id, rank) WHERE p.took > 0 AND t.cost = p.took QUALIFY row_number() OVER (PARTITION BY query_id, video_id, rank ORDER BY len(t.parts) DESC) = 1),
+bodies AS (SELECT query_id, video_id, string_agg(block, chr(10) || chr(10) ORDER BY begin, rank) AS body, count(*)::INTEGER AS passages, array_to_string(flatten(list({_ids("parts")} ORDER BY begin, rank)), ' ') AS segments FROM chosen GROUP BY ALL),
+near AS (SELECT c.query_id, c.video_id, c.rank, f.t, f.frame_id, f.t >= c.begin AS inside FROM chosen c JOIN thumb f ON f.video_id = c.video_id AND f.t BETWEEN c.begin - 120 AND c.finish),
+views AS (SELECT DISTINCT query_id, video_id, t, frame_id, '[' || {_tenths("t")} || ' | frame_' || lpad(frame_id::VARCHAR, 5, '0') || ']' AS line
+  FROM (SELECT *, bool_or(inside) OVER p AS any_inside, row_number() OVER (PARTITION BY query_id, video_id, rank, inside ORDER BY t) AS up, row_number() OVER (PARTITION BY query_id, video_id, rank, inside ORDER BY t DESC) AS down
+    FROM near WINDOW p AS (PARTITION BY query_id, video_id, rank)) WHERE inside AND (up = 1 OR down = 1) OR NOT any_inside AND down = 1),
+rooms AS (SELECT query_id, video_id, min(room) AS room, count(*)::INTEGER AS hits FROM picked GROUP BY ALL),
+shown AS (SELECT query_id, video_id, string_agg(chr(10) || chr(10) || line, '' ORDER BY t) AS lines, string_agg('frame_' || lpad(frame_id::VARCHAR, 5, '0'), ' ' ORDER BY t) AS frames
+  FROM (SELECT v.*, r.room, sum({_COST.format("line")} + 2) OVER (PARTITION BY v.query_id, v.video_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS used FROM views v JOIN rooms r USING (query_id, video_id))
+  WHERE used + {math.ceil(len(X.SHOWN) / 3.5)} <= room GROUP BY query_id, video_id),
+texts AS (SELECT query_id, video_id, head || chr(10) || chr(10) || coalesce(body, '{X.NOTHING}') || CASE WHEN lines IS NULL THEN '' ELSE {' || '.join("chr(10)" if c == chr(10) else repr(c) for c in re.split(f"({chr(10)})", X.SHOWN) if c)} || lines END AS text,
+  coalesce(passages, 0) AS passages, hits, coalesce(segments, '') AS segments, coalesce(frames, '') AS frames
+  FROM heads JOIN rooms USING (query_id, video_id) LEFT JOIN bodies USING (query_id, video_id) LEFT JOIN shown USING (query_id, video_id))"""
+
+
+@query(f"WITH RECURSIVE {THUMB}, {_CONTEXT} SELECT *, {_COST.format('text')} AS estimated_tokens FROM texts")
 def context_text(spark, d):
     """The assembled text within 400 tokens, with frames."""
     seg = S.segments(spark, d)

@@ -431,3 +431,28 @@ def test_context_keeps_to_its_budget(spark, most):
 def test_context_says_when_nothing_fits():
     with pytest.raises(ValueError):
         X.ContextOptions(max_tokens=63)
+
+
+def test_passages_lose_the_edge_that_reaches_farther():
+    part = lambda i, start, end: {"idx": i, "start_s": start, "end_s": end, "text": f"t{i}"}
+    whole = X.Passage((part(0, 0.0, 5.0), part(1, 5.0, 30.0), part(2, 30.0, 90.0)), 0, 0.0, 60.0)
+    # The middle is 30: the last part starts there but ends 60 s on, so it goes before the first.
+    assert [(x.ids(), x.begin, x.end) for x in whole.narrower()] == [(["seg_00000", "seg_00001"], 0.0, 30.0), (["seg_00001"], 5.0, 30.0)]
+
+
+def test_frames_of_the_passages_shown():
+    f = lambda t, i: {"t": t, "frame_id": i}
+    near = [f(10.0, 1), f(20.0, 2), f(30.0, 3), f(40.0, 4)]
+    names = lambda *chosen, most=2: [x["frame_id"] for x in X.shown_in(list(chosen), most)]
+    assert names((10.0, 40.0, near)) == [1, 4] and names((10.0, 40.0, near), most=3) == [1, 3, 4] and names((10.0, 40.0, near), most=1) == [1]
+    # No frame inside: the last before, if not too far; a frame of two passages goes once.
+    assert names((41.0, 50.0, near)) == [4] and names((161.0, 170.0, near)) == [] and names((0.0, 5.0, near)) == []
+    assert names((25.0, 35.0, near), (36.0, 38.0, near), (39.0, 45.0, near)) == [3, 4]
+    assert names() == []
+
+
+def test_frames_near_passages(spark):
+    found = spark.createDataFrame([(0, 1, 0, 100.0, 120.0, 95.0, 130.0), (0, 1, 1, 400.0, 410.0, 400.0, 410.0), (0, 2, 0, 0.0, 9.0, 0.0, 9.0)], "query_id int, video_id long, rank int, w_start double, w_end double, start_s double, end_s double")
+    frames = spark.createDataFrame([(1, t, i) for i, t in enumerate([90.0, 94.0, 95.0, 130.0, 131.0, 270.0])], "video_id long, t double, frame_id long")
+    got = {(r["video_id"], r["rank"]): [x["frame_id"] for x in r["near"]] for r in X.passage_frames(found, frames).collect()}
+    assert got == {(1, 0): [2, 3]}

@@ -163,7 +163,9 @@ def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
 
 def noise(sketch: np.ndarray) -> float:
     """What a bucket holds of other tokens: the mean and two deviations."""
-    mean = float((2.0 ** (sketch / 8.0) - 1.0).mean())
+    # Levels are counted chunk by chunk: as floating point the whole sketch takes eight times its bytes, and more than once.
+    levels = sum(np.bincount(part, minlength=256) for part in np.array_split(sketch, CHUNKS))
+    mean = float(levels @ (2.0 ** (np.arange(256) / 8.0) - 1.0)) / len(sketch)
     return mean + 2 * mean**0.5
 
 

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -754,3 +755,14 @@ def test_stages_take_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
         assert docs.count() == 0
+
+
+def test_op4_noise_in_little_memory():
+    """Pipeline, driver's memory: as floating point the sketch took 256 MB at once."""
+    sketch = np.random.default_rng(3).integers(0, 256, 1 << op4_ngram_join.SKETCH_BITS).astype(np.uint8)
+    tracemalloc.start()
+    got = op4_ngram_join.noise(sketch)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    mean = math.fsum(float(n) * (2.0 ** (level / 8.0) - 1.0) for level, n in enumerate(np.unique(sketch, return_counts=True)[1])) / len(sketch)
+    assert math.isclose(got, mean + 2 * mean**0.5, rel_tol=1e-9) and peak < 16 << 20

@@ -47,7 +47,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialise, partitions, payload, skew_safe_lookup, slices, whole_row
+from .common import discard, materialise, partitions, payload, skew_safe_lookup, slices, small_batches, whole_row
 from .components import components
 
 SKETCH_BITS = 24
@@ -329,6 +329,11 @@ def _asked_now(x: dict[str, Column], y: dict[str, Column], percent: int) -> Colu
 
 def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
     """(rows, sets): rows has doc_id, __key, __n for each row of docs; sets has __key, component_id, keep_key, weight for each set."""
+    with small_batches(docs.sparkSession):
+        return _classes(docs, width, percent)
+
+
+def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     sketch = frequency_sketch(docs, width)
@@ -354,6 +359,7 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[DataFra
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(matches, pa.int32()), pa.array(mass, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=["doc_id", "__key", "__n", "matches", "mass", "tokens"])
 
     table = materialise(payload(docs, "doc_id").mapInArrow(run, "doc_id long, __key binary, __n long, matches int, mass double, tokens array<long>"), "prefixes")
+    sent.destroy()
     # Tasks describe a set once each; one description is enough.  Its number, sid, is fixed by writing it.
     described = table.filter("matches > 0").dropDuplicates(["__key"]).select(F.monotonically_increasing_id().alias("sid"), F.col("__key").alias("key"), F.col("__n").cast("int").alias("n"), "matches", F.col("mass").cast("float").alias("mass"), "tokens")
     described = materialise(described, "described")

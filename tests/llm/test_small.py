@@ -9,12 +9,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chronolith.llm import op1_toxicity, op2_lm, op3_quality, op4_ngram_join, op5_langid, op6_exact, op7_shards, op8_warc, op9_packing, op10_mix
-from chronolith.llm.common import materialise
+from chronolith.llm.common import BATCH_BYTES, materialise, small_batches
 from chronolith.llm.components import components
 from chronolith.llm.lattice import Lattice, vocabulary
 
@@ -766,3 +767,25 @@ def test_op4_noise_in_little_memory():
     tracemalloc.stop()
     mean = math.fsum(float(n) * (2.0 ** (level / 8.0) - 1.0) for level, n in enumerate(np.unique(sketch, return_counts=True)[1])) / len(sketch)
     assert math.isclose(got, mean + 2 * mean**0.5, rel_tol=1e-9) and peak < 16 << 20
+
+
+def test_op4_small_batches(spark, monkeypatch):
+    """op4, executors' memory: every step hands Python batches of a few MB, and the session's setting comes back."""
+    before, seen = spark.conf.get(BATCH_BYTES), set()
+
+    def watched(df, name):
+        seen.add(spark.conf.get(BATCH_BYTES))
+        return materialise(df, name)
+
+    monkeypatch.setattr(op4_ngram_join, "materialise", watched)
+    docs = spark.createDataFrame([(i, f"a b c d e {i % 3}") for i in range(9)], "doc_id long, text string")
+    assert op4_ngram_join.join_classes(docs).select("component_id").distinct().count() == 3
+    assert seen == {str(4 << 20)} and spark.conf.get(BATCH_BYTES) == before
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    large = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), F.lit(1 << 20)).alias("text")).mapInArrow(sizes, "n long")
+    with small_batches(spark):
+        assert large.agg(F.max("n")).first()[0] < 8 << 20
